@@ -105,7 +105,7 @@ def lookalike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     Equal strings are one class: classes of a form are paired first and expanded last, so the
     cost follows the result, not the square of a hot text. Null texts are in no pair.
     """
-    formed = with_one_form(df.select(key, column).filter(F.col(column).isNotNull()).dropDuplicates([key]), column, [key])
+    formed = with_one_form(df.select(key, column).filter(F.col(column).isNotNull()).distinct(), column, [key])
     formed = formed.select(F.col(key).alias("id"), F.col(column).alias("text"), "one_form")
     varied = formed.groupBy("one_form").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("one_form")
     hits = formed.join(varied, "one_form", "left_semi")
@@ -146,7 +146,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_titles(spark, sf_dir: str) -> DataFrame:
     """Every listing's title beside its one form."""
-    return with_one_form(table(spark, sf_dir, "products", "listing_id", "title").dropDuplicates(["listing_id"]), "title", ["listing_id"])
+    return with_one_form(table(spark, sf_dir, "products", "listing_id", "title").distinct(), "title", ["listing_id"])
 
 
 QUERIES = {"p5_found": p5_found, "p5_titles": p5_titles}

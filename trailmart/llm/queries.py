@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lookalikes", "bpe", "packing"]
+MODULES = ["lookalikes", "bpe", "packing", "proportional", "survivors"]
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = importlib.import_module(f"{__package__}.{_name}")
