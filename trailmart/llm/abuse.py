@@ -178,7 +178,11 @@ def votes(plain: str, disguised: bool) -> int:
     return bits | 1 << DISGUISED if disguised and bits & WORDS else bits
 
 
-votes_of = lru_cache(200_000)(votes)
+@lru_cache(200_000)
+def votes_of(plain: str, disguised: bool) -> int:
+    return votes(plain, disguised)
+
+
 #: Voters for words that may be disguised, and all voters for abusive.
 WORDS = sum(1 << i for i, (n, _, _) in enumerate(VOTERS) if n.startswith(("insult", "sexual")))
 POSITIVE = sum(1 << i for i, (_, v, _) in enumerate(VOTERS) if v > 0) | 1 << DISGUISED
