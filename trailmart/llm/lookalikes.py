@@ -23,48 +23,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import table
+from ..sources.tables import cut
 
 # Letters of other scripts that look like Latin ones, each followed by its twin.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухһԁԛԝӏѵёїѐЁЇЀ", "ABESIJKMHOPCTYXGQWYaesijopcyxhdqwlvëïèËÏÈ")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳϲνορόΆΈΌΊΎ", "ABEZHIKMNOPTYXCjcvopóÁÉÓÍÝ")
 HYPHENS = ("‐‑", "--")
 SPACES = "               　\t"
-INVISIBLE = "[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]"
-#: Blocks whose characters are other writings of plain ones (radicals, width forms, ligatures, Roman numerals, letter-like digits).
-COMPATIBLE = [(0x2160, 0x2180), (0x2E80, 0x2FE0), (0xF900, 0xFB00), (0xFB00, 0xFB07), (0xFF01, 0xFFE7), (0x1D400, 0x1D800)]
+INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]"
+#: Texts of these characters only are in the one form already.
+ORDINARY = "[ -~\\x{3001}-\\x{3029}\\x{4E00}-\\x{9FFF}]*"
+#: Blocks whose characters are other writings of plain ones: full width; Roman numerals, radicals, ligatures, half width, letter-like digits.
+WIDE_BLOCK = (0xFF01, 0xFF5F)
+RARE_BLOCKS = [(0x2160, 0x2180), (0x2E80, 0x2FE0), (0xFB00, 0xFB07), (0xFF5F, 0xFFE7), (0x1D400, 0x1D800)]
 
 
-def _maps() -> tuple[str, str, list[tuple[str, str]]]:
-    """Sources and targets of the one-to-one mapping, and the mappings to several characters."""
-    one = {s: " " for s in SPACES}
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _mapped(blocks: list[tuple[int, int]], start: str) -> str:
+    """SQL that maps the characters of the blocks, and the twins, in ``start``."""
+    one = dict.fromkeys(SPACES, " ")
     for left, right in (CYRILLIC, GREEK, HYPHENS):
         one |= dict(zip(left, right, strict=True))
-    several = []
-    for low, high in COMPATIBLE:
+    for low, high in blocks:
         for c in map(chr, range(low, high)):
             plain = unicodedata.normalize("NFKC", c)
-            if plain != c and len(plain) == 1:
+            if len(plain) == 1 and plain != c:
                 one[c] = one.get(plain, plain)
-            elif plain != c:
-                several.append((c, plain))
-    return "".join(one), "".join(one.values()), several
-
-
-def _text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+            elif len(plain) > 1 and " " not in plain:
+                start = f"replace({start}, {_text(c)}, {_text(plain)})"
+    return f"nfc_normalize(translate({start}, {_text(''.join(one))}, {_text(''.join(one.values()))}))"
 
 
 def macro_sql() -> str:
-    """The macro ``one_form(s)`` as DuckDB SQL."""
-    source, target, several = _maps()
-    inner = f"translate(regexp_replace(s, {_text(INVISIBLE)}, '', 'g'), {_text(source)}, {_text(target)})"
-    # characters that stand for several are few and rare: one test skips their replacements
-    chain = inner
-    for c, plain in several:
-        if c < "\uff00":
-            chain = f"replace({chain}, {_text(c)}, {_text(plain)})"
-    rare = "[" + "".join(c for c, _ in several if c < "\uff00") + "]"
-    return f"CREATE MACRO one_form(s) AS nfc_normalize(CASE WHEN s IS NULL THEN NULL WHEN regexp_matches(s, {_text(rare)}) THEN {chain} ELSE {inner} END)"
+    """The macro ``one_form(s)`` as DuckDB SQL.
+
+    ``translate`` costs in proportion to its map, so texts get the smallest of three that serves:
+    none, full width with look-alikes, or all blocks.
+    """
+    seen = f"regexp_replace(s, {_text(INVISIBLE)}, '', 'g')"
+    rare = "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high - 1:X}}}" for low, high in RARE_BLOCKS) + "]"
+    return (
+        f"CREATE MACRO one_form(s) AS CASE WHEN regexp_full_match(s, {_text(ORDINARY)}) THEN s "
+        f"WHEN regexp_matches(s, {_text(rare)}) THEN {_mapped([WIDE_BLOCK, *RARE_BLOCKS], seen)} ELSE {_mapped([WIDE_BLOCK], seen)} END"
+    )
 
 
 def _connect():
@@ -106,7 +110,7 @@ def lookalike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     cost follows the result, not the square of a hot text. Null texts are in no pair.
     """
     formed = with_one_form(df.select(key, column).filter(F.col(column).isNotNull()).distinct(), column, [key])
-    formed = formed.select(F.col(key).alias("id"), F.col(column).alias("text"), "one_form")
+    formed = cut(formed.select(F.col(key).alias("id"), F.col(column).alias("text"), "one_form"))
     varied = formed.groupBy("one_form").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low <> high").select("one_form")
     hits = formed.join(varied, "one_form", "left_semi")
     classes = hits.select("one_form", "text").distinct()
