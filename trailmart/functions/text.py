@@ -58,7 +58,7 @@ def click_value(c: Column | str) -> Column:
 
 def path_parts(c: Column | str) -> Column:
     """The parts of a category path between its usual separators."""
-    return F.filter(F.transform(F.split(col(c), "[›>/]+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(col(c), "[›>/]+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def numbers(c: Column | str) -> Column:
