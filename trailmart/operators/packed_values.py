@@ -5,8 +5,8 @@ once into code points, and every later step (delimiter masks, quote spans, trimm
 child offsets) is a NumPy operation over the batch. No value becomes a Python string.
 
 Rules
-* Delimiters are the signs in ``DELIMITERS``, tab, line break, ``::``, and a hyphen with
-  white space on both sides; they may be mixed within one field.
+* Delimiters are the signs in ``DELIMITERS``, tab, line break, two or more colons, and a
+  hyphen with white space (or an end of the field) on both sides; they may be mixed within one field.
 * A quote opens only at the start of a value. The first matching close ends it (in double
   quotes a doubled quote is one quote character). An opening quote without a close is text.
   If text follows a closing quote, the value keeps its quotes and that text.
@@ -162,7 +162,7 @@ def split_buffers(column: pa.Array) -> pa.ListArray:
     order = np.lexsort((left, owner))
     left, owner = left[order], owner[order]
     right = np.where(np.r_[owner[1:] == owner[:-1], False], np.r_[left[1:] - 1, 0], bounds[owner + 1])
-    next_solid = np.r_[np.minimum.accumulate(np.where(white, m, place)[::-1])[::-1], m]
+    next_solid = np.r_[np.minimum.accumulate(np.where(white, m, place)[::-1])[::-1], m]  # m: none
     last_solid = np.r_[-1, np.maximum.accumulate(np.where(white, -1, place))]  # before place i
     trim = lambda a, b: (np.minimum(next_solid[a], b), np.maximum(last_solid[b] + 1, np.minimum(next_solid[a], b)))
     left, right = trim(left, right)
@@ -170,7 +170,7 @@ def split_buffers(column: pa.Array) -> pa.ListArray:
     close_of[opened] = closed
     quoted = (close_of[left] == right - 1) & (right - left >= 2)
     doubled = quoted & (cp[np.minimum(left, m - 1)] == ord('"'))
-    inner = trim(left + 1, np.maximum(right - 1, left + 1))
+    inner = trim(np.minimum(left + 1, m), np.minimum(np.maximum(right - 1, left + 1), m))
     left, right = np.where(quoted, inner[0], left), np.where(quoted, inner[1], right)
     keep = right > left
     left, right, owner, doubled = left[keep], right[keep], owner[keep], doubled[keep]
