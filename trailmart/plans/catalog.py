@@ -185,7 +185,7 @@ _LETTERS = r"regexp_replace(lower(instruction), '[^\p{L}\p{N}]', '', 'g')"
 _S = "s AS (SELECT DISTINCT task_id, difficulty, domain, option_bucket FROM tasks WHERE difficulty IS NOT NULL AND domain IS NOT NULL AND option_bucket IS NOT NULL)"
 _ORDER = lambda seed: f"md5(CAST(task_id AS VARCHAR) || '|{seed}')"
 _ALLOCATED = f"""WITH {_S}, g AS (SELECT domain, option_bucket, count(*) AS rows FROM s GROUP BY ALL),
-    b AS (SELECT *, 500.0::DOUBLE * rows / sum(rows) OVER () AS ideal, least(rows, greatest(1, CAST(floor(500.0::DOUBLE * rows / sum(rows) OVER ()) AS BIGINT))) AS fl FROM g),
+    b AS (SELECT *, 500.0::DOUBLE * rows / sum(rows) OVER () AS ideal, least(rows, greatest(1, CAST(floor(500.0::DOUBLE * rows / sum(rows) OVER ()) AS BIGINT))) AS fl FROM g QUALIFY sum(rows) OVER () >= 500 AND count(*) OVER () <= 500),
     d AS (SELECT *, 500 - sum(fl) OVER () AS missing, row_number() OVER (PARTITION BY fl >= rows ORDER BY ideal - fl DESC, domain DESC, option_bucket DESC) AS k FROM b),
     u AS (SELECT domain, option_bucket, missing, ideal - fl + unnest(range(0, fl - 1)) AS gap FROM d WHERE missing < 0 AND fl > 1),
     m AS (SELECT domain, option_bucket, count(*) AS minus FROM (SELECT *, row_number() OVER (ORDER BY gap, domain, option_bucket) AS k FROM u QUALIFY k <= -missing) GROUP BY ALL),
