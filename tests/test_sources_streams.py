@@ -67,7 +67,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert closed and set(closed) <= set(sessions)
     repeats = {r.event_id: r.repeat for r in ev.run_to_table(ev.repeats_stream(stream())).collect()}
     last, expected = {}, {}
-    for i, _, user, kind, _, props in data:
+    for i, _, user, kind, _, props in sorted(data, key=lambda d: (d[1], d[0])):
         expected[i] = last.get(user) == (kind, props)
         last[user] = (kind, props)
     assert repeats == expected
