@@ -81,8 +81,8 @@ def allocate(strata: pd.DataFrame) -> pd.DataFrame:
     unmet = {i: int(d) - g for i, (d, g) in enumerate(zip(strata.demand, given, strict=True)) if d > g}
     for depth in (2, 1, 0):
         nodes: dict[tuple, list[int]] = {}
-        for i, row in enumerate(strata[LABELS[:depth]].itertuples(index=False, name=None)):
-            nodes.setdefault(row, []).append(i)
+        for i, labels in enumerate(strata[LABELS].itertuples(index=False, name=None)):
+            nodes.setdefault(labels[:depth], []).append(i)
         for members in nodes.values():
             want = sum(unmet.get(i, 0) for i in members)
             for i, n in zip(members, _share_out(want, [room[i] - given[i] for i in members]), strict=True):
