@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
+from ..sources import spread
+from ..sources.tables import cut
 
 # Weights of the fields, and parameters of BM25.
 FIELD_WEIGHTS = {"title": 3.0, "brand": 2.0, "category": 2.0, "model": 2.5, "attributes": 1.5, "options": 1.2, "bullets": 0.8}
@@ -39,14 +41,18 @@ def check_weights(weights: Mapping[str, float]) -> dict[str, float]:
 
 
 def build_index(docs: DataFrame, key: str, weights: Mapping[str, float], fold=F.lower) -> Index:
-    """An index of the text columns named in ``weights``. Tokens count once per field."""
+    """An index of the text columns named in ``weights``. Tokens count once per field, repeated rows once.
+
+    Texts are split into tokens before repeated rows are dropped, in as many tasks as the scan has, and
+    stored in the shared folder: the tables of the index, and all searches in it, start from there.
+    """
     weights = check_weights(weights)
 
     def entries_of(column: str, weight: float):
         return F.transform(search_tokens(column, fold), lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
 
     entries = F.flatten(F.array(*(entries_of(c, w) for c, w in weights.items())))
-    tokens = docs.select(F.col(key).alias("doc"), entries.alias("entries"))
+    tokens = cut(spread(docs).select(F.col(key).alias("doc"), entries.alias("entries")).distinct())
     postings = tokens.select("doc", F.inline("entries")).groupBy("doc", "token").agg(F.sum("w").alias("tf"))
     lengths = tokens.select("doc", F.size("entries").alias("length"))
     totals = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
@@ -55,13 +61,15 @@ def build_index(docs: DataFrame, key: str, weights: Mapping[str, float], fold=F.
 
 def search(index: Index, queries: DataFrame, key: str, text: str, depth: int = DEPTH, fold=F.lower) -> DataFrame:
     """(query, doc, score, rank) of the best ``depth`` documents that share a token with each query."""
-    asked = queries.select(F.col(key).alias("query"), F.explode(search_tokens(text, fold)).alias("token"))
-    known = asked.join(index.tokens, "token")
-    hits = known.join(index.postings, "token").join(index.lengths, "doc").crossJoin(F.broadcast(index.totals))  # totals is one row
+    # what a token adds to the score of a document does not depend on the query: it is computed once per posting
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    asked = queries.select(F.col(key).alias("query"), F.explode(search_tokens(text, fold)).alias("token"))
+    wanted = index.tokens.join(asked, "token", "left_semi")
+    placed = index.postings.join(wanted, "token").join(index.lengths, "doc").crossJoin(F.broadcast(index.totals))  # totals is one row
+    impacts = placed.select("token", "doc", part.alias("part"))
+    scored = asked.join(impacts, "token").groupBy("query", "doc").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= depth)
 

@@ -13,11 +13,11 @@ USED = {k: FIELD_WEIGHTS[k] for k in ("title", "brand", "category", "attributes"
 
 
 def searchable(spark, sf_dir: str) -> DataFrame:
-    """One row of searchable text fields per listing."""
+    """Searchable text fields of each listing row; an index counts repeated rows once."""
     p = table(spark, sf_dir, "products", "listing_id", "title", "brand", "category", "attributes", "customization_options")
     entries = F.map_entries("customization_options")
     words = F.flatten(F.transform(entries, lambda e: F.concat(F.array(e["key"]), F.transform(F.coalesce(e["value"], F.array()), lambda v: v["value"]))))
-    return p.select("listing_id", "title", "brand", "category", F.array_join("attributes", " ").alias("attributes"), F.array_join(words, " ").alias("options")).distinct()
+    return p.select("listing_id", "title", "brand", "category", F.array_join("attributes", " ").alias("attributes"), F.array_join(words, " ").alias("options"))
 
 
 def asked(spark, sf_dir: str) -> DataFrame:
