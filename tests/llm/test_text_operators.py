@@ -131,7 +131,7 @@ def test_abuse_held_out(spark):
     assert all(a >= 0.5 for a in model.accuracies().values())
     held = [(1, "s", "你这个灯卖家就是傻 逼"), (2, "s", "what a b*tch, can't even read the chart"), (3, "s", "这款灯的外壳防水吗"), (4, "s", "I hate the new lamp packaging"), (5, "s", None), (6, "s", ""), (7, None, ("这款灯的外壳防水吗。" * 300) + "加V看啪 啪,全裸无遮挡")]
     got = {x.doc_id: x.score for x in abuse.scored(spark.createDataFrame(held, "doc_id long, source string, text string"), w, b).collect()}
-    assert got[1] > 0.6 and got[2] > 0.6 and got[7] > 0.6 and got[3] < 0.6 and got[4] < 0.6 and got[5] == got[6] == 0
+    assert got[1] > 0.5 and got[2] > 0.5 and got[7] > 0.5 and got[3] < 0.5 and got[4] < 0.5 and got[5] == got[6] == 0
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     assert abuse.scored(none, *abuse.fit(none)[1:]).count() == 0
 
