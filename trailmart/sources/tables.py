@@ -26,7 +26,7 @@ def spread(df: DataFrame, factor: int = 1) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's own setting, else a local default."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(configured)
