@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lookalikes", "bpe", "packing", "proportional", "survivors", "formatting_copies", "overlap", "abuse", "listings"]
+MODULES = ["lookalikes", "bpe", "packing", "proportional", "survivors", "formatting_copies", "overlap", "abuse", "listings", "masks"]
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = importlib.import_module(f"{__package__}.{_name}")

@@ -71,14 +71,16 @@ def export(conversations: DataFrame, key: str) -> DataFrame:
     return kept.select(key, F.to_json(F.struct(shown.alias("messages"))).alias("sample"))
 
 
-def label_masks(conversations: DataFrame, key: str, longest: int, pad_to: int = 8) -> DataFrame:
+def label_masks(conversations: DataFrame, key: str, longest: int | None = None, pad_to: int = 8) -> DataFrame:
     """(key, input_ids, labels, attention_mask): only assistant characters are learnt.
 
-    Ids are code points, a stand-in for a tokenizer. Samples are masked, cut at ``longest``, and padded to a multiple of ``pad_to``.
+    Ids are code points, a stand-in for a tokenizer (``llm.masks`` counts tokens). Samples are masked, cut at ``longest``
+    if it is given, and padded to a multiple of ``pad_to``.
     """
     chars = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
     parts = F.transform("messages", lambda m: F.transform(chars(m["content"]), lambda i: F.struct(i.alias("id"), F.when(is_role(m, "assistant"), i).otherwise(IGNORE).alias("label"))))
-    flat = conversations.select(key, F.slice(F.flatten(parts), 1, longest).alias("t"))
+    whole = F.flatten(parts)
+    flat = conversations.select(key, (whole if longest is None else F.slice(whole, 1, longest)).alias("t"))
     room = F.pmod(-F.size("t"), F.lit(pad_to))
     padded = lambda field, value: F.concat(F.transform("t", lambda x: x[field]), F.array_repeat(F.lit(value), room))
     return flat.select(key, padded("id", 0).alias("input_ids"), padded("label", IGNORE).alias("labels"), F.concat(F.transform("t", lambda x: F.lit(1)), F.array_repeat(F.lit(0), room)).alias("attention_mask"))
@@ -86,6 +88,26 @@ def label_masks(conversations: DataFrame, key: str, longest: int, pad_to: int =
 
 def mask_stats(masks: DataFrame) -> DataFrame:
     learnt = F.size(F.filter("labels", lambda x: x != IGNORE))
-    total = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    out = masks.agg(F.count("*").alias("samples"), F.sum(learnt).alias("trained"), F.sum(total).alias("tokens"), F.sum(F.size("labels")).alias("padded"))
+    return _totals(masks, learnt, _attended(), F.size("labels"))
+
+
+def mask_totals(masks: DataFrame, limit: int) -> DataFrame:
+    """The same of masks over whole conversations, with the samples longer than ``limit`` and their tokens beyond it."""
+    learnt = F.size(F.filter("labels", lambda x: x != IGNORE))
+    return length_totals(masks.select(_attended().alias("tokens"), learnt.alias("trained")), limit)
+
+
+def length_totals(lengths: DataFrame, limit: int, pad_to: int = 8) -> DataFrame:
+    """Totals of (tokens, trained) of whole samples; nothing is cut, what a cut at ``limit`` would lose is counted."""
+    padded = F.col("tokens") + F.pmod(-F.col("tokens"), F.lit(pad_to))
+    over = F.count_if(F.col("tokens") > limit).alias("samples_over"), F.sum(F.greatest(F.col("tokens") - limit, F.lit(0))).alias("tokens_over")
+    return _totals(lengths, F.col("trained"), F.col("tokens"), padded, *over)
+
+
+def _attended() -> Column:
+    return F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+
+
+def _totals(df: DataFrame, trained: Column, tokens: Column, padded: Column, *more: Column) -> DataFrame:
+    out = df.agg(F.count("*").alias("samples"), F.sum(trained).alias("trained"), F.sum(tokens).alias("tokens"), F.sum(padded).alias("padded"), *more)
     return out.withColumn("fraction", F.round(F.col("trained") / F.nullif(F.col("tokens"), F.lit(0)), 6))

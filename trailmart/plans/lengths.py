@@ -10,6 +10,9 @@ from ..operators import metrics
 from ..sources import table
 from ..streaming import events as ev
 
+#: The reference's max_length of a training sample.
+LIMIT = 8192
+
 
 def _docs(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "source", "n_chars").filter("n_chars IS NOT NULL")
@@ -69,9 +72,15 @@ def chat_export(spark, sf_dir: str) -> DataFrame:
 
 
 def chat_mask_stats(spark, sf_dir: str) -> DataFrame:
+    """Masks of the first 2048 characters of each chat only, as the SQL of this query states; ``chat_mask_totals`` has whole chats."""
     return conv.mask_stats(conv.label_masks(_chats(spark, sf_dir), "doc_id", 2048))
 
 
+def chat_mask_totals(spark, sf_dir: str) -> DataFrame:
+    """Masks of whole chats in characters, and what a cut at the reference's 8192 would lose."""
+    return conv.mask_totals(conv.label_masks(_chats(spark, sf_dir), "doc_id"), LIMIT)
+
+
 def event_hourly(spark, sf_dir: str) -> DataFrame:
     return ev.hourly(_events(spark, sf_dir))
 
@@ -133,6 +142,9 @@ ORACLES = {
     "chat_mask_stats": f"""WITH {_CHAT}, c AS (SELECT doc_id, place, role, chars, sum(chars) OVER (PARTITION BY doc_id ORDER BY place) - chars AS start FROM m), k AS (SELECT doc_id, role, greatest(0, least(chars, 2048 - start)) AS kept FROM c),
         d AS (SELECT doc_id, sum(kept) AS tokens, sum(kept) FILTER (role = 'assistant') AS trained FROM k GROUP BY ALL)
         SELECT count(*) AS samples, CAST(sum(trained) AS BIGINT) AS trained, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum((tokens + 7) // 8 * 8) AS BIGINT) AS padded, round(sum(trained) / sum(tokens), 6) AS fraction FROM d""",
+    "chat_mask_totals": f"""WITH {_CHAT}, d AS (SELECT doc_id, sum(chars) AS tokens, coalesce(sum(chars) FILTER (role = 'assistant'), 0) AS trained FROM m GROUP BY ALL)
+        SELECT count(*) AS samples, CAST(sum(trained) AS BIGINT) AS trained, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum((tokens + 7) // 8 * 8) AS BIGINT) AS padded,
+            count(*) FILTER (tokens > {LIMIT}) AS samples_over, CAST(sum(greatest(tokens - {LIMIT}, 0)) AS BIGINT) AS tokens_over, round(sum(trained) / sum(tokens), 6) AS fraction FROM d""",
     "event_hourly": _HOURLY,
     "event_hourly_stream": _HOURLY,
     "event_sessions": f"WITH {_E}, s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, k",
@@ -141,4 +153,4 @@ ORACLES = {
     "event_ever_repeated": "SELECT user_id, CAST(sum(n) AS BIGINT) AS actions, count(*) AS kinds, CAST(sum(n - 1) AS BIGINT) AS repeated FROM (SELECT user_id, event_type, props, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL",
     "event_counters": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + ", count(*) AS actions FROM events GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (length_stats, length_quantiles, length_thresholds, length_bins, length_distribution, chat_messages, chat_contexts, chat_order_errors, chat_history, chat_export, chat_mask_stats, event_hourly, event_hourly_stream, event_sessions, event_repeats, event_repeats_stream, event_ever_repeated, event_counters)}
+QUERIES = {f.__name__: f for f in (length_stats, length_quantiles, length_thresholds, length_bins, length_distribution, chat_messages, chat_contexts, chat_order_errors, chat_history, chat_export, chat_mask_stats, chat_mask_totals, event_hourly, event_hourly_stream, event_sessions, event_repeats, event_repeats_stream, event_ever_repeated, event_counters)}
