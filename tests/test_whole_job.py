@@ -7,3 +7,15 @@ def test_masks_of_long_chats_are_whole(spark):
     docs = spark.createDataFrame([(1, "User: " + "a" * 9000 + "\nAgent: " + "b" * 500), (2, "User: hi\nAgent: 😀茶"), (3, "User: x")], "id long, text string")
     got = conv.mask_totals(conv.label_masks(conv.from_chat(docs, "id", "text"), "id"), 8192).first().asDict()
     assert got == {"samples": 3, "trained": 502, "tokens": 9505, "padded": 9504 + 8 + 8, "samples_over": 1, "tokens_over": 1308, "fraction": round(502 / 9505, 6)}
+
+
+def test_tags_in_any_writing_and_all_held_out_splits(spark, tmp_path):
+    from trailmart.plans import catalog
+
+    data = [
+        (1, "train", "a", "Red cup"), (2, "Train", "a", "blue cup"), (3, "train\n", "a", "green cup"), (4, " train", "a", "x"), (5, "TRAIN", "a", "y"), (6, "reserve", "backfill", "z"), (7, "Train", "backfill", "q"),
+        (8, "EVAL", "a", "red-cup"), (9, "online_dev ", "a", "BLUE cup"), (10, "test", "a", "green cup!"), (11, " Train", "a", "Y"),
+    ]
+    spark.createDataFrame([(*r, "d") for r in data], "task_id long, tag string, source string, instruction string, domain string").write.parquet(str(tmp_path / "tasks.parquet"))
+    assert sorted(r.task_id for r in catalog.unseen_train_folded(spark, str(tmp_path)).collect()) == [4, 5, 7, 11]
+    assert [(r.removed, r.added) for r in catalog.dedup_refill_folded(spark, str(tmp_path)).collect()] == [(11, 6)]

@@ -23,6 +23,11 @@ def nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
+def one_tag(c: Column | str) -> Column:
+    """A tag in one writing: without white space around it, lower case."""
+    return F.lower(F.regexp_replace(col(c), r"^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$", ""))
+
+
 def query_text(c: Column | str, fold=F.lower) -> Column:
     """A search text: folded, currency words as one sign, separators as single spaces.
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import html_text
-from ..functions.text import letters_and_digits, long_ids, nfkc_casefold, numbers, path_parts, sql_tokens
+from ..functions.text import letters_and_digits, long_ids, nfkc_casefold, numbers, one_tag, path_parts, sql_tokens
 from ..operators import catalog, sampling
 from ..sources import table
 from .evaluation import tasks
 
+#: Splits that training must not see.
+HELD_OUT = ("eval", "online_dev", "test")
+
 
 def listings(spark, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "products", "listing_id", *columns).dropDuplicates(["listing_id"])
@@ -89,11 +92,23 @@ def instruction_folded(spark, sf_dir: str) -> DataFrame:
 
 
 def unseen_train(spark, sf_dir: str) -> DataFrame:
-    """Train tasks whose instruction no evaluation task has."""
+    """Train tasks whose instruction no evaluation task has; tags are exactly 'train' and 'eval', as in the reference and this query's SQL."""
     t = tasks(spark, sf_dir, "tag", "instruction").withColumn("mark", F.sha2(letters_and_digits("instruction"), 256))
     return t.filter("tag = 'train'").join(t.filter("tag = 'eval'").select("mark"), "mark", "left_anti").select("task_id")
 
 
+def unseen_train_folded(spark, sf_dir: str) -> DataFrame:
+    """Train tasks, in any writing of the tag, whose instruction no task of a held-out split has."""
+    t = _tagged(spark, sf_dir, "instruction")
+    return t.filter("split = 'train'").join(t.filter(F.col("split").isin(*HELD_OUT)).select("mark"), "mark", "left_anti").select("task_id").distinct()
+
+
+def _tagged(spark, sf_dir: str, *columns: str) -> DataFrame:
+    """Tasks with ``split``, the tag in one writing, and ``mark``, the digest of the instruction."""
+    t = tasks(spark, sf_dir, "tag", *columns)
+    return t.withColumn("split", one_tag("tag")).withColumn("mark", F.sha2(letters_and_digits("instruction"), 256))
+
+
 def _strata(spark, sf_dir: str) -> DataFrame:
     columns = ["difficulty", "domain", "option_bucket"]
     return sampling.first_per(tasks(spark, sf_dir, *columns), ["task_id"], columns).dropna()
@@ -137,12 +152,19 @@ def cumulative_weights(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_refill(spark, sf_dir: str) -> DataFrame:
-    """Repeated train instructions and the backfill tasks of their stratum that take their place."""
+    """Repeated train instructions and the backfill tasks of their stratum that take their place; tags are exactly 'train', as in this query's SQL."""
     columns = ["tag", "source", "instruction", "domain"]
     t = sampling.first_per(tasks(spark, sf_dir, *columns), ["task_id"], columns).filter("domain IS NOT NULL").withColumn("mark", F.sha2(letters_and_digits("instruction"), 256))
     return sampling.refill(t.filter("tag = 'train' AND source <> 'backfill'"), t.filter("source = 'backfill' AND tag <> 'train'"), ["domain"], "task_id", "mark")
 
 
+def dedup_refill_folded(spark, sf_dir: str) -> DataFrame:
+    """The same with tags in any writing."""
+    columns = ["tag", "source", "instruction", "domain"]
+    t = sampling.first_per(_tagged(spark, sf_dir, *columns[1:]), ["task_id"], columns).filter("domain IS NOT NULL")
+    return sampling.refill(t.filter("split = 'train' AND source <> 'backfill'"), t.filter("source = 'backfill' AND split <> 'train'"), ["domain"], "task_id", "mark")
+
+
 def pilot_choice(spark, sf_dir: str) -> DataFrame:
     """Three tasks: the first drawn of the largest domains, one each."""
     s = _strata(spark, sf_dir)
@@ -182,6 +204,7 @@ _P = "p AS (SELECT DISTINCT ON (listing_id) * FROM products)"
 _CLEAN = "c AS (SELECT listing_id, asin, trim(title, ' ') AS title, coalesce(nullif(trim(brand, ' '), ''), 'N.A.') AS brand, lower(trim(coalesce(category, ''), ' ')) AS category, list_filter(list_transform(coalesce(attributes, []), lambda a: trim(a, ' ')), lambda a: a <> '') AS attributes FROM p WHERE asin IS NOT NULL AND lower(asin) NOT IN ('nan', '') AND length(asin) <= 20)"
 _OPTIONS = "o AS (SELECT listing_id, lower(e.key) AS name, CAST(generate_subscripts(e.value, 1) - 1 AS INT) AS place, unnest(e.value) AS v FROM (SELECT listing_id, unnest(map_entries(customization_options)) AS e FROM p)), ov AS (SELECT listing_id, name, place, lower(replace(trim(v.value, ' '), '/', ' | ')) AS value, v.image AS image FROM o)"
 _LETTERS = r"regexp_replace(lower(instruction), '[^\p{L}\p{N}]', '', 'g')"
+_TAG = r"lower(regexp_replace(tag, '^[\s\x0b\p{Z}]+|[\s\x0b\p{Z}]+$', '', 'g'))"
 _S = "s AS (SELECT DISTINCT task_id, difficulty, domain, option_bucket FROM tasks WHERE difficulty IS NOT NULL AND domain IS NOT NULL AND option_bucket IS NOT NULL)"
 _ORDER = lambda seed: f"md5(CAST(task_id AS VARCHAR) || '|{seed}')"
 _ALLOCATED = f"""WITH {_S}, g AS (SELECT domain, option_bucket, count(*) AS rows FROM s GROUP BY ALL),
@@ -210,6 +233,7 @@ ORACLES = {
     "document_ids": "SELECT DISTINCT doc_id, asin FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS asin FROM documents) WHERE length(asin) BETWEEN 10 AND 20",
     "instruction_dedup": f"SELECT sha256({_LETTERS}) AS mark, min(task_id) AS task_id, count(*) AS copies FROM (SELECT DISTINCT task_id, instruction FROM tasks WHERE instruction IS NOT NULL) GROUP BY ALL",
     "unseen_train": f"WITH t AS (SELECT DISTINCT task_id, tag, {_LETTERS} AS m FROM tasks) SELECT task_id FROM t WHERE tag = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE tag = 'eval' AND m IS NOT NULL))",
+    "unseen_train_folded": f"WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, {_LETTERS} AS m FROM tasks) SELECT DISTINCT task_id FROM t WHERE split = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE split IN {HELD_OUT} AND m IS NOT NULL))",
     "largest_remainder": _ALLOCATED + " SELECT * FROM a",
     "stratified_sample": _ALLOCATED + f", r AS (SELECT task_id, domain, option_bucket, row_number() OVER (PARTITION BY domain, option_bucket ORDER BY {_ORDER(42)}, task_id) AS place FROM s) SELECT task_id, domain, option_bucket FROM r JOIN a USING (domain, option_bucket) WHERE place <= allocated",
     "proportional_quotas": f"WITH {_S}, c AS (SELECT difficulty, count(*) AS n FROM s GROUP BY ALL), q AS (SELECT difficulty, 50 * n / sum(n) OVER () AS sh FROM c), f AS (SELECT *, floor(sh) AS fl, 50 - sum(floor(sh)) OVER () AS missing, row_number() OVER (ORDER BY sh - floor(sh) DESC, difficulty DESC) AS k FROM q) SELECT difficulty, CAST(fl + CASE WHEN k <= missing THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f",
@@ -221,10 +245,14 @@ ORACLES = {
         b AS (SELECT DISTINCT ON (m) * FROM t WHERE source = 'backfill' AND tag <> 'train' ORDER BY m, task_id), f AS (SELECT * FROM b WHERE m NOT IN (SELECT m FROM a)),
         x AS (SELECT domain, task_id AS removed, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM a WHERE again > 1), y AS (SELECT domain, task_id AS added, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM f)
         SELECT removed, added FROM x LEFT JOIN y USING (domain, n)""",
+    "dedup_refill_folded": f"""WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, source, domain, {_LETTERS} AS m FROM tasks WHERE domain IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY task_id) AS again FROM t WHERE split = 'train' AND source <> 'backfill'),
+        b AS (SELECT DISTINCT ON (m) * FROM t WHERE source = 'backfill' AND split <> 'train' ORDER BY m, task_id), f AS (SELECT * FROM b WHERE m NOT IN (SELECT m FROM a WHERE m IS NOT NULL)),
+        x AS (SELECT domain, task_id AS removed, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM a WHERE again > 1), y AS (SELECT domain, task_id AS added, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM f)
+        SELECT removed, added FROM x LEFT JOIN y USING (domain, n)""",
     "pilot_choice": f"WITH {_S}, l AS (SELECT domain, count(*) AS n FROM s GROUP BY ALL ORDER BY n DESC, domain LIMIT 3) SELECT domain, arg_min(task_id, ROW({_ORDER(3)}, task_id)) AS task_id FROM s JOIN l USING (domain) GROUP BY ALL",
     "domain_difficulty_counts": f"WITH {_S} SELECT domain, difficulty, option_bucket, count(*) AS n FROM s GROUP BY ALL",
     "manifest_union": "SELECT doc_id, arg_max(verdict, ROW(annotator, verdict)) AS verdict FROM doc_labels WHERE verdict IS NOT NULL GROUP BY ALL",
     "manifest_errors": f"SELECT 'unknown document' AS error, count(DISTINCT doc_id) AS n FROM doc_labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'repeated instruction', count(*) FROM (SELECT {_LETTERS} AS m FROM (SELECT DISTINCT task_id, instruction FROM tasks WHERE instruction IS NOT NULL) GROUP BY m HAVING count(*) > 1)",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(props->>'k' AS BIGINT) AS k FROM events) GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (product_clean, product_options, option_values, first_listing, catalog_fingerprint, attribute_shares, title_terms, shop_reviews, category_overlap, title_numbers, document_ids, instruction_dedup, instruction_folded, unseen_train, largest_remainder, stratified_sample, proportional_quotas, disjoint_splits, hash_split, seeded_shuffle, weighted_draw, cumulative_weights, dedup_refill, pilot_choice, domain_difficulty_counts, manifest_union, manifest_errors, json_props, document_markup)}
+QUERIES = {f.__name__: f for f in (product_clean, product_options, option_values, first_listing, catalog_fingerprint, attribute_shares, title_terms, shop_reviews, category_overlap, title_numbers, document_ids, instruction_dedup, instruction_folded, unseen_train, unseen_train_folded, largest_remainder, stratified_sample, proportional_quotas, disjoint_splits, hash_split, seeded_shuffle, weighted_draw, cumulative_weights, dedup_refill, dedup_refill_folded, pilot_choice, domain_difficulty_counts, manifest_union, manifest_errors, json_props, document_markup)}
