@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -45,7 +45,7 @@ BRAND_ADDITIONS = ("官方旗舰店", "旗舰店", "官方", "专营店")
 _TWINS = str.maketrans(CYRILLIC[0] + GREEK[0] + HYPHENS[0], CYRILLIC[1] + GREEK[1] + HYPHENS[1])
 _MEMORY = re.compile(r"(?<=\d)(\s?)G(?![A-Za-z])")
 _SPEC = re.compile(r"(?<![\d.])(\d+(?:\.\d+)?)\s*(?:" + "|".join(f"({u})" for u, _, _ in UNITS) + r")(?![a-zA-Z0-9])|(?<![a-z0-9])x(\d+)(?![a-z0-9.])|\bpack of (\d+)")
-_CODE = re.compile(rf"(?<![a-z0-9])([a-z]{{2}})[ -]?(\d{{4}})(?!\d)(?: ?({GENERATIONS}))?(?![a-z0-9])")
+_CODE = re.compile(rf"(?<![a-z0-9ß-ɏ])([a-z]{{2}})[ -]?(\d{{4}})(?!\d)(?: ?({GENERATIONS}))?(?![a-z0-9])")
 _GENERATION = re.compile(rf"(?:系列)? ?({GENERATIONS})(?![a-z0-9])")
 _BREAK = re.compile(r"[\s/|()\[\]【】,，、;；]+")
 _KEY = re.compile(r"[:：=＝]")
@@ -75,6 +75,27 @@ def specifications(texts: list[str]) -> dict[str, list[float]]:
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 
+def model_codes(title: str) -> list[re.Match]:
+    """The model codes of a title.
+
+    Letters within a specification ('6 kg 1800 w', '40 cm 1500克') begin none, nor does a generation
+    before a specification ('ii 1500瓦').
+    """
+    found = list(_CODE.finditer(title))
+    spans = [m.span() for m in _SPEC.finditer(title)] if found else []
+    generation = lambda m: m.group(1) in ("ii", "iv") and any(a == m.start(2) for a, _ in spans)
+    return [m for m in found if not generation(m) and not any(a < m.start() < b for a, b in spans)]
+
+
+def _with_codes(title: str, codes: list[re.Match], write: Callable[[re.Match], str]) -> str:
+    """The title with each of its codes as ``write`` gives it."""
+    out, at = [], 0
+    for m in codes:
+        out += [title[at : m.start()], write(m)]
+        at = m.end()
+    return "".join([*out, title[at:]])
+
+
 def _generation(found: str | None) -> str:
     return (found or "").replace(" ", "")
 
@@ -106,9 +127,9 @@ def read_listings(products: DataFrame, brands: dict[str, int]) -> DataFrame:
     def one(listing: int, title: str | None, brand: str | None, attributes: list | None) -> tuple:
         names = sent.value
         t = plain(title)
-        m = _CODE.search(t)
-        code = m.group(1) + m.group(2) if m else None
-        rest = _CODE.sub(" ", t)
+        codes = model_codes(t)
+        code = codes[0].group(1) + codes[0].group(2) if codes else None
+        rest = _with_codes(t, codes, lambda x: " ")
         values = [p[1] for a in attributes or () if a for p in [_KEY.split(plain(a), maxsplit=1)] if len(p) == 2]
         specs = specifications([rest, *values])
         words = [w for w in _BREAK.split(_SPEC.sub(" ", rest)) if w]
@@ -116,7 +137,7 @@ def read_listings(products: DataFrame, brands: dict[str, int]) -> DataFrame:
         known = stated if stated is not None else brand_of(words, names)
         trusted = known is not None and all(names.get(w, known) == known for w in words)
         other = [w for w in dict.fromkeys(words) if w not in names and not re.fullmatch(rf"[\d.-]+|{GENERATIONS}", w)]
-        joined = _CODE.sub(lambda x: f"{x.group(1)}{x.group(2)} {x.group(3) or ''}", t)
+        joined = _with_codes(t, codes, lambda x: f"{x.group(1)}{x.group(2)} {x.group(3) or ''}")
         return listing, known, trusted, code, joined, "|".join(f"{k}={','.join(f'{x:g}' for x in v)}" for k, v in specs.items()), other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
