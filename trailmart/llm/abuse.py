@@ -294,8 +294,12 @@ def pattern_counts(texts: DataFrame) -> dict[int, int]:
     return {r.bits: r.n for r in rows}
 
 
-def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[str, int]]:
-    """(plain form, votes) of the sentences whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without."""
+def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[np.ndarray, int, float]]:
+    """(features, votes, number) of the sentences whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
+
+    Features are those of the whole sentence. Sentences of equal features and votes are one row with their number;
+    more distinct ones than the shares can give are an error, never cut.
+    """
     hot = sum(n for b, n in patterns.items() if b & POSITIVE)
     cold = sum(patterns.values()) - hot
     share = {True: min(1.0, sample * 0.9 / max(1, hot)), False: min(1.0, 2 * sample * 0.9 / max(1, cold))}
@@ -303,16 +307,21 @@ def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, rows in chunks(batch, 1):
-                out = []
+                grams, votes = [], []
                 for key, t in zip(part.column(0).to_pylist(), rows, strict=True):
                     for i, s in enumerate(sentences(t) if t else ()):
                         bits = votes_of(*s)
-                        if xxhash.xxh32_intdigest(f"{key}/{i}") < share[bool(bits & POSITIVE)] * 2**32:
-                            out.append((s[0][:2000], bits))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["plain", "bits"])
+                        # the sentence is hashed too, as rows may share a key
+                        if xxhash.xxh32_intdigest(f"{key}/{i}/{s[0]}") < share[bool(bits & POSITIVE)] * 2**32:
+                            grams.append(features(s[0]).astype(np.int32))
+                            votes.append(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["grams", "bits"])
 
-    rows = texts.mapInArrow(run, "plain string, bits long").limit(4 * sample).collect()
-    return sorted((r.plain, r.bits) for r in rows)
+    drawn = texts.mapInArrow(run, "grams array<int>, bits long").groupBy("grams", "bits").agg(F.count("*").alias("n"))
+    rows = drawn.limit(4 * sample + 1).collect()
+    if len(rows) > 4 * sample:
+        raise ValueError("more sentences drawn than their shares can give")
+    return [(np.array(g, np.int64), b, float(n)) for g, b, n in sorted(map(tuple, rows))]
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | None, np.ndarray, float]:
@@ -322,10 +331,10 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | None,
         return None, np.zeros(DIMENSIONS, np.float32), -30.0
     model = LabelModel(patterns)
     rows = sample_sentences(texts, patterns, sample)
-    labels = [model.by_bits.get(b, 0.0) for _, b in rows]
-    hot = max(1.0, sum(labels))
-    balance = max(1.0, (len(rows) - hot) / hot) ** 0.5
-    w, b = train([(features(p), y, balance if y > 0.5 else 1.0) for (p, _), y in zip(rows, labels, strict=True)])
+    labels = [model.by_bits.get(b, 0.0) for _, b, _ in rows]
+    hot = max(1.0, sum(y * n for y, (_, _, n) in zip(labels, rows, strict=True)))
+    balance = max(1.0, (sum(n for _, _, n in rows) - hot) / hot) ** 0.5
+    w, b = train([(f, y, n * (balance if y > 0.5 else 1.0)) for (f, _, n), y in zip(rows, labels, strict=True)])
     return model, w, b
 
 
