@@ -1,3 +1,5 @@
+import numpy as np
+
 from trailmart.llm import abuse
 
 
@@ -9,5 +11,12 @@ def test_whole_sentences_are_learnt_and_rows_may_share_a_key(spark):
     assert [(list(f), b, n) for f, b, n in rows] == [(list(abuse.features(plain)), abuse.votes(plain, disguised), 50.0)]
     assert set(abuse.features("茶白痴")) <= set(rows[0][0])
     keyless = spark.createDataFrame([(None, f"{chr(0x5000 + i)}的白痴") for i in range(400)], "doc_id long, text string")
-    drawn = sum(n for _, _, n in abuse.sample_sentences(keyless, abuse.pattern_counts(keyless), 40))
-    assert 15 < drawn < 70
+    drawn = abuse.sample_sentences(keyless, abuse.pattern_counts(keyless), 40)
+    assert 15 < len(drawn) < 70
+    assert abs(sum(w for _, _, w in drawn) - 400) < 200
+
+
+def test_training_does_not_depend_on_the_number_of_rows():
+    rows = [(np.array([1, 2]), 1.0, 1.0), (np.array([2, 3]), 0.0, 5.0), (np.array([3]), 0.0, 4.0)]
+    (w, b), (w_many, b_many) = abuse.train(rows), abuse.train([(f, y, n * 1e4) for f, y, n in rows])
+    assert np.allclose(w, w_many) and abs(b - b_many) < 1e-6

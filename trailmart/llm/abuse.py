@@ -7,7 +7,8 @@
    maximisation estimates the voters' accuracies, conditional correlations between voters then
    discount those that repeat each other, and the posterior of each pattern is taken again.
 4. A linear classifier on hashed character and word n-grams is trained on the posteriors of a
-   sample of sentences, at most ``SAMPLE`` with and twice as many without an abusive vote.
+   sample of sentences, at most ``SAMPLE`` with and twice as many without an abusive vote, each weighted
+   by the inverse of its share, so that a score does not depend on the size of the corpus.
 5. The score of a document is that of its worst sentence.
 
 Patterns are counted over all documents; only the classifier sees a sample, which a hash draws.
@@ -35,6 +36,8 @@ from .lookalikes import CYRILLIC, GREEK
 
 #: Most sampled sentences with an abusive vote (twice as many without), size of the hashed feature space, most distinct vote patterns, score of a found document.
 SAMPLE, DIMENSIONS, MOST_PATTERNS, FOUND_FROM = 30_000, 1 << 17, 50_000, 0.5
+#: Sum of the weights in training, to which its decay is relative.
+TOTAL = 60_000
 
 # Insults and sexual words, with the pinyin of their characters and other writings.
 INSULTS_ZH = "傻逼 脑残 蠢猪 神经病 贱人 畜生 王八蛋 狗东西 废物 白痴 杂种 人渣 贱货 智障 弱智 蠢货 混蛋 婊子 狗娘养".split()
@@ -257,11 +260,15 @@ def features(plain: str) -> np.ndarray:
 
 
 def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 200, rate: float = 1.0, decay: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Logistic regression on (features, soft label, weight) by adaptive gradient steps over whole batches."""
+    """Logistic regression on (features, soft label, weight) by adaptive gradient steps over whole batches.
+
+    Weights are brought to a sum of ``TOTAL``, so that ``decay`` means the same for any number of rows.
+    """
     sizes = np.array([max(1, len(f)) for f, _, _ in rows])
     flat = np.concatenate([f if len(f) else np.array([0]) for f, _, _ in rows])
     of = np.repeat(np.arange(len(rows)), sizes)
     label, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    weight = weight * (TOTAL / weight.sum())
     scale = 1 / np.sqrt(sizes)
     w, b, seen, seen_b = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8), 1e-8
     for _ in range(steps):
@@ -295,10 +302,10 @@ def pattern_counts(texts: DataFrame) -> dict[int, int]:
 
 
 def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[np.ndarray, int, float]]:
-    """(features, votes, number) of the sentences whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
+    """(features, votes, weight) of the sentences whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
 
-    Features are those of the whole sentence. Sentences of equal features and votes are one row with their number;
-    more distinct ones than the shares can give are an error, never cut.
+    Features are those of the whole sentence. Sentences of equal features and votes are one row; its weight is
+    their number over the share, which estimates that of all such sentences. More distinct ones than the shares can give are an error, never cut.
     """
     hot = sum(n for b, n in patterns.items() if b & POSITIVE)
     cold = sum(patterns.values()) - hot
@@ -321,7 +328,7 @@ def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) ->
     rows = drawn.limit(4 * sample + 1).collect()
     if len(rows) > 4 * sample:
         raise ValueError("more sentences drawn than their shares can give")
-    return [(np.array(g, np.int64), b, float(n)) for g, b, n in sorted(map(tuple, rows))]
+    return [(np.array(g, np.int64), b, n / share[bool(b & POSITIVE)]) for g, b, n in sorted(map(tuple, rows))]
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | None, np.ndarray, float]:
