@@ -19,3 +19,11 @@ def test_tags_in_any_writing_and_all_held_out_splits(spark, tmp_path):
     spark.createDataFrame([(*r, "d") for r in data], "task_id long, tag string, source string, instruction string, domain string").write.parquet(str(tmp_path / "tasks.parquet"))
     assert sorted(r.task_id for r in catalog.unseen_train_folded(spark, str(tmp_path)).collect()) == [4, 5, 7, 11]
     assert [(r.removed, r.added) for r in catalog.dedup_refill_folded(spark, str(tmp_path)).collect()] == [(11, 6)]
+
+
+def test_long_rollouts_are_in_the_overflow_bin(spark, tmp_path):
+    from trailmart.plans import evaluation
+
+    data = [(str(i), ({"num_tool_calls": v},)) for i, v in enumerate([998.0, 999.0, 1000.0, 5e9, float("inf"), float("nan"), -1.0])]
+    spark.createDataFrame(data, "record_id string, verification struct<metrics: map<string, double>>").write.parquet(str(tmp_path / "rollouts.parquet"))
+    assert sorted((r.value, r.n) for r in evaluation.step_histogram(spark, str(tmp_path)).collect()) == [(998, 1), (999, 1), (1000, 2)]

@@ -144,8 +144,10 @@ def option_compliance(spark, sf_dir: str) -> DataFrame:
 
 
 def step_histogram(spark, sf_dir: str) -> DataFrame:
+    """Records by number of tool calls; 1000 is an overflow bin, of 1000 and more (this query's SQL leaves those out)."""
     r = rollouts(spark, sf_dir, "verification").select(F.col("verification.metrics")["num_tool_calls"].alias("steps"))
-    return metrics.dense_histogram(r.filter("steps >= 0 AND steps < 1000"), "steps")
+    finite = r.filter("steps >= 0 AND steps < double('Infinity')")
+    return metrics.dense_histogram(finite.select(F.least("steps", F.lit(1000)).alias("steps")), "steps")
 
 
 def best_seen_reward(spark, sf_dir: str) -> DataFrame:
