@@ -35,13 +35,30 @@ def test_allocation_prefers_siblings():
     assert got == {("a", "d", "x"): 4, ("a", "d", "y"): 5, ("a", "e", "x"): 5, ("b", "d", "x"): 1}
 
 
+def _cell(votes, *records):
+    """(value, trust, day) each, records numbered from 0."""
+    day, newest = 86_400_000_000, max(d for _, _, d in records) * 86_400_000_000
+    return [(v, votes.weight(t, d * day, i, newest), survivors.STRICT.weight(t, d * day, i, newest)) for i, (v, t, d) in enumerate(records)]
+
+
 def test_consensus():
-    assert survivors.closest([12.0]) == 0
     r = random.Random(1)
-    for _ in range(300):
-        values = r.sample([0.0, 1.0, 12.0, 123.0, 1234.5, 99.0, 1e6, 0.25, 21.0], r.randint(1, survivors.VOTERS))
-        assert survivors.closest(values) == 0  # strict trust: the best value wins
-    assert survivors.consensus([list("12"), list("13"), list("13")], [1.0, 0.8, 0.7]) == list("13")
+    pool = [0.0, 1.0, 12.0, 123.0, 1234.5, 99.0, 1e6, 0.25, 21.0]
+    for _ in range(300):  # strict: the best record wins against any number of lesser ones
+        records = [(r.choice(pool), r.randint(1, 3), r.randint(1, 9)) for _ in range(r.randint(1, 12))]
+        best = max(range(len(records)), key=lambda i: (-records[i][1], records[i][2], i))
+        value, _, order = survivors.survivor(_cell(survivors.STRICT, *records), survivors.STRICT)
+        assert (value, order[3]) == (records[best][0], max(i for i, x in enumerate(records) if x[0] == value and x[1:] == records[best][1:]))
+
+
+def test_graded_votes_add_up():
+    pick = lambda *records: survivors.survivor(_cell(survivors.GRADED, *records), survivors.GRADED)[0]
+    assert pick((120.0, 1, 9), (350.0, 2, 9)) == 120.0
+    assert pick((120.0, 1, 9), (350.0, 2, 9), (350.0, 2, 9), (350.0, 3, 9)) == 350.0  # agreeing records outvote the trusted one
+    assert pick((120.0, 1, 1), (350.0, 2, 99)) == 350.0  # the trusted one is old
+    assert pick((1500.0, 1, 9), (1520.0, 2, 9), (1620.0, 2, 9), (1920.0, 2, 9)) == 1520.0  # '5' and '2' win in columns of different voters; the closest existing value
+    whole = survivors.consensus([survivors.profile(list("12"), 1.0), survivors.profile(list("13"), 0.8), survivors.profile(list("13"), 0.7)], survivors.GRADED)
+    assert survivors.winners(whole) == "13" and abs(whole[1] - 2.5) < 1e-9
 
 
 ROLLOUT = "record_id long, task_id double, rollout_id string, verifier string, written_at timestamp_ntz, verification struct<metrics map<string,double>>"
@@ -62,10 +79,17 @@ def test_survivors(spark):
     assert survivors.survivors(spark.createDataFrame([], ROLLOUT), ranks).count() == 0
 
 
-def test_hot_group_of_survivors(spark):
-    data = [(i, 1.0, "1", "high", None, ({"m": float(i % 50)},)) for i in range(3000)]
-    got = survivors.survivors(spark.createDataFrame(data, ROLLOUT), spark.createDataFrame([("high", 1)], "verifier string, trust_rank int")).collect()
-    assert [(r.record_id, r.value) for r in got] == [(2999, 49.0)]
+@pytest.mark.parametrize("votes", ["STRICT", "GRADED"])
+def test_hot_group_of_survivors(spark, votes):
+    """A group dealt to several tasks gives what one task gives; single records and one record delivered often give nothing."""
+    votes = getattr(survivors, votes)
+    data = [(i, 1.0, "1", "high" if i % 7 else "low", None, ({"m": float(i % 50), "n": 3.0},)) for i in range(600)]
+    data += [(900, 2.0, "1", "high", None, ({"m": 1.0},)), (901, 3.0, "1", "low", None, ({"m": 1.0},)), (902, 3.0, "1", "high", None, ({"m": 2.0},))] + [(903, 4.0, "1", "high", None, ({"m": 1.0},))] * 150
+    df, ranks = spark.createDataFrame(data, ROLLOUT), spark.createDataFrame([("high", 1), ("low", 2)], "verifier string, trust_rank int")
+    whole, dealt = (rows(survivors.survivors(df, ranks, votes, n)) for n in (5000, 100))
+    assert whole == dealt and (3, 1, "m", 902, 2.0) in whole and len(whole) == 3
+    if votes is survivors.STRICT:
+        assert (1, 1, "m", 599, 49.0) in whole
 
 
 def test_counting_trie():
