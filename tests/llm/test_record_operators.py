@@ -29,6 +29,14 @@ def test_proportional(spark):
     assert sorted(r.rank for r in ranked.collect()) == list(range(1, 5001))
 
 
+def test_two_spellings_of_a_stratum_share_it(spark):
+    t = spark.createDataFrame([(i, "a", "d", "x") for i in range(10)] + [(50 + i, "b", "d", "x") for i in range(90)], TASK)
+    g = spark.createDataFrame([("a", "d", "x", 400, 1), (" A", "ｄ", "X", 400, 8), ("b", "d", "x", 200, 1), (None, "d", "x", 0, 3)], TARGET)
+    plan = {r.difficulty: (r.demand, r.available, r.allocated, r.passed_on) for r in proportional.allocation(t, g).collect()}
+    assert plan == {"a": (16, 10, 10, 6), "b": (4, 90, 13, 0), None: (3, 0, 0, 3)}
+    assert proportional.draw(t, g).count() == 23
+
+
 def test_allocation_prefers_siblings():
     frame = pd.DataFrame([("a", "d", "x", 10, 4), ("a", "d", "y", 2, 5), ("a", "e", "x", 2, 50), ("b", "d", "x", 1, 100)], columns=["difficulty", "domain", "option_bucket", "demand", "available"])
     got = proportional.allocate(frame).set_index(["difficulty", "domain", "option_bucket"]).allocated.to_dict()
@@ -118,6 +126,21 @@ def test_copies(spark, bucket_rows):
     assert copies.collapse_copies(df.limit(0), "id", "text")[0].count() == 0
 
 
+def test_a_shared_start_costs_one_level(spark):
+    start = "x" * 10_000
+    data = [(i, start + f"{i % 900:04d}" + "y" * (i % 3)) for i in range(1000)] + [(5000 + i, start) for i in range(40)]
+    local = spark.createDataFrame([(t.encode(), i, 1) for i, t in data], copies.LOCAL)
+    placed, levels = copies.radix_buckets(local, 20)
+    assert levels <= 3 and placed.count() == len(data)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert sorted(sizes)[-1] == 40 and sorted(sizes)[-2] <= 20  # rows of one text can't be told apart
+    groups = {r.first_key: r.copies for r in copies.counted_groups(local, 20).collect()}
+    expected = {}
+    for i, t in data:
+        expected.setdefault(t, []).append(i)
+    assert groups == {min(v): len(v) for v in expected.values()}
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))

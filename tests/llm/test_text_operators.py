@@ -138,3 +138,16 @@ def test_abuse_held_out(spark):
 
 def test_normal_forms_agree():
     assert all(unicodedata.normalize("NFC", c) == c for c in lookalikes.CYRILLIC[1] + lookalikes.GREEK[1])
+
+
+def test_fields_by_structure():
+    same = [
+        ("Material: steel; Shape: round; Price: 5", "price=5 | MATERIAL=Steel | shape=round"), ("口味：原味\n产地：云南", "产地: 云南; 口味: 原味"), ("重 量 - 5kg，口味 - 甜", "口味 - 甜，重量 - 5kg"),
+        ("(Lens: wide, fast\nMount type: EF\nHood: none)", "Hood = none | Lens = wide, fast | Mount type = EF"),
+    ]
+    for a, b in same:
+        assert canonical(a).text == canonical(b).text, (a, b)
+    other = [("Material: steel; Shape: round", "Material: round; Shape: steel"), ("I want this: a red one, and that: a blue one", "I want that: a blue one, and this: a red one"), ("a: 1; b: 2", "a: 2; b: 1"), ("meet at 10:30 or 11:45", "meet at 11:45 or 10:30")]
+    for a, b in other:
+        assert canonical(a).text != canonical(b).text, (a, b)
+    assert canonical(":").text == "" and canonical("a:b:c:d").fields and canonical(":=" * 500).text == ""

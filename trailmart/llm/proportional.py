@@ -7,9 +7,11 @@ time in proportion to the spare rows there. At the leaves, rows are drawn by the
 a pseudo-random permutation. The rank of a row is the number of rows in earlier slices of the
 permutation plus its rank in its own slice, so no task sorts a whole stratum.
 
-* Labels that differ in case, width or outer white space are one label. Rows with a null or blank
+* Labels that differ in case, width or outer white space are one label, also among the targets: rows that
+  state one stratum are one target, with the sum of their shares and the largest of their minimums. Rows with a null or blank
   label in any column, or with a null key, take no part. A redelivered row counts once.
-* Targets without rows, and an empty table, give an allocation of 0 and are reported.
+* What a leaf passes on, as it has too few rows, is its ``passed_on``: the strata that can't be met (``p2_found``)
+  are those that passed on anything. Targets without rows, and an empty table, get 0 and pass on all.
 * Ties in the permutation are impossible (the key breaks them); the draw is the same in every run.
 """
 
@@ -42,16 +44,18 @@ def labelled(tasks: DataFrame) -> DataFrame:
 
 
 def demands(tasks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each target row (``stated_*``: as written) with its demand and the number of its rows.
+    """Each stated stratum (``stated``: its rows as written) with its demand and the number of its rows.
 
     Both sides of the join are aggregates by stratum; Spark chooses a broadcast only below its size threshold.
     """
     had = labelled(tasks).groupBy(*LABELS).agg(F.count("*").alias("available"))
     total = had.agg(F.expr(f"coalesce(sum(available), 0) div {SAMPLE_SHARE}").alias("sample_rows"))
-    stated = targets.select(*(one_label(F.col(c)).alias(c) for c in LABELS), *(F.col(c).alias(f"stated_{c}") for c in LABELS), "target_permille", "min_rows")
+    spelt = F.struct(*(F.col(c).alias(c) for c in LABELS))
+    stated = targets.select(*(one_label(F.col(c)).alias(c) for c in LABELS), spelt.alias("stated"), "target_permille", "min_rows")
+    stated = stated.groupBy(*LABELS).agg(F.collect_list("stated").alias("stated"), F.sum("target_permille").alias("permille"), F.max("min_rows").alias("least"))
     joined = stated.join(had, LABELS, "left").crossJoin(F.broadcast(total))  # total is one row
-    share = F.expr("(cast(coalesce(target_permille, 0) AS bigint) * sample_rows + 999) div 1000")
-    return joined.select(*LABELS, *(f"stated_{c}" for c in LABELS), F.greatest(F.coalesce(F.col("min_rows").cast("long"), F.lit(0)), share).alias("demand"), F.coalesce("available", F.lit(0)).alias("available"))
+    share = F.expr("(cast(coalesce(permille, 0) AS bigint) * sample_rows + 999) div 1000")
+    return joined.select(*LABELS, "stated", F.greatest(F.coalesce(F.col("least").cast("long"), F.lit(0)), share).alias("demand"), F.coalesce("available", F.lit(0)).alias("available"))
 
 
 def _share_out(want: int, spare: list[int]) -> list[int]:
@@ -72,13 +76,14 @@ def _share_out(want: int, spare: list[int]) -> list[int]:
 
 
 def allocate(strata: pd.DataFrame) -> pd.DataFrame:
-    """Fill the column ``allocated``; unmet quota goes to siblings, cousins, then all others."""
+    """Fill the columns ``allocated`` and ``passed_on``; unmet quota goes to siblings, cousins, then all others."""
     strata = strata.sort_values(LABELS, kind="stable", na_position="last").reset_index(drop=True)
     if len(strata) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} target rows")
     room = strata.available.astype("int64").tolist()
     given = [min(d, a) for d, a in zip(strata.demand.astype("int64").tolist(), room, strict=True)]
     unmet = {i: int(d) - g for i, (d, g) in enumerate(zip(strata.demand, given, strict=True)) if d > g}
+    passed_on = [unmet.get(i, 0) for i in range(len(strata))]
     for depth in (2, 1, 0):
         nodes: dict[tuple, list[int]] = {}
         for i, labels in enumerate(strata[LABELS].itertuples(index=False, name=None)):
@@ -92,13 +97,13 @@ def allocate(strata: pd.DataFrame) -> pd.DataFrame:
                 unmet.pop(i, None)
             if want > 0:
                 unmet[members[0]] = want
-    return strata.assign(allocated=given)
+    return strata.assign(allocated=given, passed_on=passed_on)
 
 
 def allocation(tasks: DataFrame, targets: DataFrame) -> DataFrame:
-    """The rows of ``demands`` with ``allocated``. One group of as many rows as the table of targets, whose size is checked."""
+    """The rows of ``demands`` with ``allocated`` and ``passed_on``. One group of as many rows as the table of targets, whose size is checked."""
     wanted = demands(tasks, targets)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema) + ", allocated bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema) + ", allocated bigint, passed_on bigint"
     return wanted.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: allocate(rows.drop(columns="_all")), schema)
 
 
@@ -116,7 +121,7 @@ def permuted_rank(rows: DataFrame, strata: list[str], key: str, seed: int = 42,
 
 def draw(tasks: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """(task_id, labels) of the sample."""
-    quota = allocation(tasks, targets).groupBy(*LABELS).agg(F.sum("allocated").alias("allocated"))
+    quota = allocation(tasks, targets).select(*LABELS, "allocated")
     ranked = permuted_rank(labelled(tasks), LABELS, "task_id", seed)
     return ranked.join(quota, LABELS).filter("rank <= allocated").select("task_id", *LABELS)
 
@@ -126,9 +131,9 @@ def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    """The targets whose demand exceeds the number of their tasks."""
-    short = allocation(*_tables(spark, sf_dir)).filter("demand > available")
-    return short.select(*(F.col(f"stated_{c}").alias(c) for c in LABELS))
+    """The targets whose stratum passed on quota in the allocation, as it has fewer tasks than its demand."""
+    short = allocation(*_tables(spark, sf_dir)).filter("passed_on > 0")
+    return short.select(F.inline("stated")).select(*LABELS)
 
 
 def p2_sample(spark, sf_dir: str) -> DataFrame:
@@ -136,7 +141,7 @@ def p2_sample(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_allocation(spark, sf_dir: str) -> DataFrame:
-    return allocation(*_tables(spark, sf_dir)).select(*LABELS, "demand", "available", "allocated")
+    return allocation(*_tables(spark, sf_dir)).select(*LABELS, "demand", "available", "allocated", "passed_on")
 
 
 def _label_sql(c: str) -> str:
