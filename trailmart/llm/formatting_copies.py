@@ -1,20 +1,23 @@
 """Collapse records that differ only in their formatting, and count the copies.
 
 Each text is brought to canonical bytes. The tasks of a scan first collapse their own copies in a
-trie, so a hot text leaves a task as one row. The rest is partitioned by radix: a bucket is a
-prefix of the canonical bytes, and a bucket with more than ``BUCKET_ROWS`` rows is split by
-``STRIDE`` further bytes, again and again, until each fits. A task then counts the texts of its
+trie, so a hot text leaves a task as one row. The rest is partitioned by radix: all rows are one bucket, and
+a bucket of more than ``BUCKET_ROWS`` rows is split by the ``STRIDE`` bytes that follow the longest start common
+to all its rows, again and again, until each fits. Every level holds the rows of the oversized buckets
+only, and a shared start costs one level, however long. A task then counts the texts of its
 buckets in one trie per bucket, whose terminal nodes hold the number of copies and the smallest key.
 
 Rows of one text can't be told apart by further bytes; there are at most as many of them as scan
 tasks (times the flushes of a trie), so such a bucket is small whatever the number of copies.
 
 * Null texts are in no group; texts without letters and digits are one group.
-* Repeated rows (the same key and text) count once; ties do not exist, as the smallest key is kept.
+* Repeated rows (the same key and text) count once: tries count deliveries, from which the repeated ones are taken,
+  found among pairs of key and digest, so no text is shuffled for them. Ties do not exist, as the smallest key is kept.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +30,8 @@ from .instructions import canonical, digest
 
 #: Most rows of a bucket, bytes by which an oversized one is split, and bytes a scan task keeps in its trie.
 BUCKET_ROWS, STRIDE, TRIE_BYTES = 20_000, 12, 32_000_000
-#: Oversized prefixes that the driver may hold: each stands for BUCKET_ROWS rows.
-MOST_PREFIXES = 1_000_000
+#: Up to so many oversized buckets (16 bytes each) are broadcast to their rows; more meet them in a join.
+MOST_SENT = 100_000
 
 
 class CountingTrie:
@@ -81,81 +84,91 @@ class CountingTrie:
 LOCAL = "canon binary, first_key long, copies long"
 
 
-def _rows(items: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-    text, key, copies = zip(*items, strict=True) if items else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(key, pa.int64()), pa.array(copies, pa.int64())], names=["canon", "first_key", "copies"])
+def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _paged(trie: CountingTrie) -> Iterator[pa.RecordBatch]:
+    kinds, names = [pa.int64(), pa.binary(), pa.binary(), pa.int64()], ["key", "mark", "canon", "copies"]
     page = []
-    for item in trie.items():
-        page.append(item)
+    for canon, key, copies in trie.items():
+        page.append((key, None, canon, copies))
         if len(page) == 5000:
-            yield _rows(page)
+            yield _columns(page, kinds, names)
             page = []
-    yield _rows(page)
+    yield _columns(page, kinds, names)
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts: a row (key, mark) for each, and rows (key, canon, copies) of the task's tries."""
     trie = CountingTrie()
     for batch in batches:
-        for text, key in zip(batch.column("canon").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            trie.add(text, key)
+        keys, marks = batch.column(0).to_pylist(), []
+        for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
+            form = canonical(text).text
+            marks.append(digest(form))
+            trie.add(form.encode(), key)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.int64())], names=["key", "mark", "canon", "copies"])
         if trie.size > TRIE_BYTES:
             yield from _paged(trie)
             trie = CountingTrie()
     yield from _paged(trie)
 
 
-def canonical_rows(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, canon, mark): canonical bytes of each text and 128 bits that stand for them; each row once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            forms = [canonical(t).text for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.encode() for f in forms], pa.binary()), pa.array([digest(f) for f in forms], pa.binary())], names=["key", "canon", "mark"])
-
-    rows = df.select(F.col(key).cast("long").alias("key"), column).dropna().distinct()
-    return spread(rows).mapInArrow(run, "key long, canon binary, mark binary")
-
-
-def oversized_prefixes(local: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = STRIDE) -> set[bytes]:
-    """The prefixes with more than ``bucket_rows`` rows. Level by level, only the oversized buckets are looked at again."""
-    found: set[bytes] = {b""} if local.count() > bucket_rows else set()
-    level, here, rows = 0, found, local.select("canon")
-    while here:
-        level += stride
-        longer = rows.filter(F.octet_length("canon") >= level).withColumn("prefix", F.expr(f"substring(canon, 1, {level})"))
-        large = longer.groupBy("prefix").count().filter(F.col("count") > bucket_rows)
-        here = {bytes(r.prefix) for r in large.select("prefix").limit(MOST_PREFIXES + 1).collect()}
-        found |= here
-        if len(found) > MOST_PREFIXES:
-            raise ValueError("too many oversized buckets; raise bucket_rows")
-    return found
-
-
-def _bucket(canon: bytes, oversized: set[bytes], stride: int) -> bytes:
-    at = 0
-    while at <= len(canon) and canon[:at] in oversized:
-        at += stride
-    return canon[:at]
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bytes the least and the greatest text of a bucket share: all between them share as many."""
+    for batch in batches:
+        upto = [len(os.path.commonprefix((a, b))) for a, b in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)]
+        alike = [a == b for a, b in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(upto, pa.int32()), pa.array(alike, pa.bool_())], names=["bucket", "upto", "alike"])
+
+
+def _starts(active: DataFrame) -> DataFrame:
+    """(bucket, upto, alike): the length of the common start of each bucket, and whether it holds one text only."""
+    bounds = active.groupBy("bucket").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
+    return bounds.mapInArrow(_common, "bucket long, upto int, alike boolean")
+
+
+def _sent(buckets: DataFrame) -> DataFrame:
+    """Broadcast if they are few; all have been stored, so the count reads no text."""
+    return F.broadcast(buckets) if buckets.count() <= MOST_SENT else buckets
+
+
+def radix_buckets(local: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = STRIDE) -> tuple[DataFrame, int]:
+    """``local`` with ``bucket``, the radix bucket of each row, and the number of levels that took."""
+    active = local.select(F.lit(0).cast("long").alias("bucket"), "canon", "first_key", "copies")
+    columns, done, level = active.columns, [], 0
+    if local.count() <= bucket_rows:
+        return active, level
+    while True:
+        level += 1
+        starts = cut(_starts(active))
+        alike, others = starts.filter("alike").select("bucket"), starts.filter("NOT alike").select("bucket", "upto")
+        if not alike.isEmpty():
+            done.append(active.join(_sent(alike), "bucket", "left_semi"))
+        split = active.join(_sent(others), "bucket")
+        split = split.withColumn("bucket", F.xxhash64("bucket", F.expr(f"substring(canon, upto + 1, {stride})"))).select(columns)
+        large = cut(split.groupBy("bucket").count().filter(F.col("count") > bucket_rows).select("bucket"))
+        if large.isEmpty():
+            done.append(split)
+            break
+        done.append(split.join(_sent(large), "bucket", "left_anti"))
+        active = cut(split.join(_sent(large), "bucket", "left_semi"))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole, level
 
 
 def counted_groups(local: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int = STRIDE) -> DataFrame:
     """(mark, first_key, copies) of each canonical text, from rows that scan tasks have collapsed."""
-    oversized = oversized_prefixes(local, bucket_rows, stride)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buckets = [_bucket(c, oversized, stride) for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), *batch.columns], names=["bucket", *batch.schema.names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, bucket = CountingTrie(), None
 
         def out() -> Iterator[pa.RecordBatch]:
-            items = list(trie.items())
-            yield pa.RecordBatch.from_arrays([pa.array([digest(t.decode()) for t, _, _ in items], pa.binary()), pa.array([k for _, k, _ in items], pa.int64()), pa.array([n for _, _, n in items], pa.int64())], names=["mark", "first_key", "copies"])
+            yield _columns([(digest(t.decode()), k, n) for t, k, n in trie.items()], [pa.binary(), pa.int64(), pa.int64()], ["mark", "first_key", "copies"])
 
         for batch in batches:  # sorted by bucket: one trie is open at a time
             for b, *item in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -165,16 +178,19 @@ def counted_groups(local: DataFrame, bucket_rows: int = BUCKET_ROWS, stride: int
                 trie.add(*item)
         yield from out()
 
-    placed = local.mapInArrow(assign, "bucket binary, " + LOCAL)
-    parts = placed.repartition("bucket").sortWithinPartitions("bucket")
-    return parts.mapInArrow(count, "mark binary, first_key long, copies long")
+    placed, _ = radix_buckets(local, bucket_rows, stride)
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "mark binary, first_key long, copies long")
 
 
 def collapse_copies(df: DataFrame, key: str, column: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """The groups (mark, first_key, copies), and the rows (key, mark) they were made of."""
-    rows = cut(canonical_rows(df, key, column))
-    local = cut(rows.mapInArrow(_collapse, LOCAL))
-    return counted_groups(local, bucket_rows), rows.select("key", "mark")
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")).dropna()
+    read = cut(spread(texts).mapInArrow(_read, "key long, mark binary, canon binary, copies long"))
+    local = read.filter("canon IS NOT NULL").select("canon", F.col("key").alias("first_key"), "copies")
+    members = read.filter("mark IS NOT NULL").groupBy("key", "mark").agg(F.count("*").alias("deliveries"))
+    again = members.filter("deliveries > 1").groupBy("mark").agg(F.sum(F.col("deliveries") - 1).alias("again"))
+    counted = counted_groups(local, bucket_rows).join(again, "mark", "left")
+    return counted.select("mark", "first_key", (F.col("copies") - F.coalesce("again", F.lit(0))).alias("copies")), members.select("key", "mark")
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Case, width, white space, punctuation, separating or wrapping signs and the order of named
 fields do not matter. The value of a number does (a thousands separator is formatting, a
-decimal point is content), and so does the field to which a value belongs.
+decimal point is content), and so does the field to which a value belongs. Named fields are told by
+their structure, whatever the names: one sign, repeated, with a short name before and a value after it.
 
 Null gives null; a text without letters and digits gives ''.
 """
@@ -15,14 +16,12 @@ import unicodedata
 from typing import NamedTuple
 
 NUMBER = re.compile(r"\d+(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+(?:\.\d+)?")
-# Names of the fields of an instruction (without white space, folded).
-FIELD_NAMES = frozenset(
-    "品类 颜色 内层颜色 规格 摆放宽度 要求 给谁用 用途 预算 备注 "
-    "item color innercolor spec shelfwidth needs for use budget note".split()
-)
-LONGEST_NAME = max(map(len, FIELD_NAMES))
 #: Signs between name and value; a text uses one of them.
 NAME_SIGNS = (re.compile(":"), re.compile("="), re.compile(r"(?<=\s)-(?=\s)"))
+#: Signs between fields, from the surest; a text mostly uses one of them.
+SEPARATORS = (re.compile(";"), re.compile(r"\|"), re.compile(r"\n"), re.compile(r",|\.\.+|[—–]{1,2}"))
+#: A separator that is in this share of the gaps is the text's own; most letters and words of a name, fewest fields.
+OWN_SHARE, LONGEST_NAME, MOST_WORDS, FEWEST_FIELDS = 0.8, 30, 6, 2
 #: Signs that belong to a value even without letters.
 CONTENT_SIGNS = "%‰°"
 FIELD, PART = "\x1f", "\x1e"
@@ -65,48 +64,45 @@ def _plain(s: str, numbers: list[str]) -> str:
     return "".join(out)
 
 
-def _name_start(s: str, low: int, end: int) -> int:
-    """Where the field name that ends before ``end`` begins, or -1.
+def _name_spots(s: str, sign: re.Pattern) -> list[tuple[int, int, int]]:
+    """(start and end of the name, start of the value) at each sign that has a name before it.
 
-    A known name may be broken by white space; of any other, the last word counts. Whatever
-    else is before it (a sign, white space, the start) ends the value of the field before.
+    What is between two signs is a value, a separator and the next name. The name begins after the last
+    separator of the kind that nearly all gaps of the text have, else after the last of any kind, else at the last word.
     """
-    while end > low and s[end - 1].isspace():
-        end -= 1
-    i, name, known = end, "", -1
-    while i > low and len(name) < LONGEST_NAME and (s[i - 1].isalpha() or s[i - 1].isspace()):
-        i -= 1
-        if not s[i].isspace():
-            name = s[i] + name
-            if name in FIELD_NAMES and (i == low or not s[i - 1].isalnum()):
-                known = i
-    if known >= 0:
-        return known
-    i = end
-    while i > low and s[i - 1].isalpha():
-        i -= 1
-    return i if i < end and (i == low or not s[i - 1].isalnum()) else -1
+    ends = [(len(s[max(0, m.start() - LONGEST_NAME) : m.start()].rstrip()) + max(0, m.start() - LONGEST_NAME), m.end()) for m in sign.finditer(s)]
+    ends = [(a, b) for a, b in ends if a and s[a - 1].isalpha()]
+    if len(ends) < FEWEST_FIELDS:
+        return []
+    gaps = [(0, ends[0][0])] + [(a[1], b[0]) for a, b in zip(ends, ends[1:])]
+    own = next((p for p in SEPARATORS if sum(p.search(s, a, b) is not None for a, b in gaps[1:]) >= OWN_SHARE * (len(gaps) - 1)), None)
+    spots = []
+    for i, ((low, end), (_, value)) in enumerate(zip(gaps, ends, strict=True)):
+        cuts = own and [m.end() for m in own.finditer(s, low, end)] or [m.end() for p in SEPARATORS for m in p.finditer(s, low, end)] or [m.end() for m in _GAP.finditer(s, low, end)]
+        at = max(cuts, default=-1) if i else 0
+        while 0 <= at < end and not s[at].isalnum():  # wrapping signs
+            at += 1
+        name = s[max(at, 0) : end].split()
+        if at >= 0 and 0 < len(name) <= MOST_WORDS and sum(map(len, name)) <= LONGEST_NAME and all(map(str.isalnum, name)):
+            spots.append((at, end, value))
+    return spots
+
+
+_GAP = re.compile(r"\s+")
 
 
 def _split_fields(s: str) -> list[tuple[str, str]]:
-    """Names and values of named fields, as written; empty if the text has fewer than three known names."""
-    best: list[tuple[str, str]] = []
-    most = 2
+    """Names and values of named fields, as written; empty if the text is not made of them.
+
+    It is if one sign has short names before it, at least twice, and nothing is before the first name.
+    """
+    best: list[tuple[int, int, int]] = []
     for sign in NAME_SIGNS:
-        spots, low = [], 0
-        for m in sign.finditer(s):
-            at = _name_start(s, low, m.start())
-            if at >= 0:
-                spots.append((at, m.start(), m.end()))
-                low = m.end()
-        if len(spots) <= most:
-            continue
-        names = ["".join(s[a:b].split()) for a, b, _ in spots]
-        known = sum(n in FIELD_NAMES for n in names)
-        if known > most and not any(c.isalnum() for c in s[: spots[0][0]]):
-            ends = [a for a, _, _ in spots[1:]] + [len(s)]
-            best, most = [(n, s[b:e]) for n, (_, _, b), e in zip(names, spots, ends, strict=True)], known
-    return best
+        spots = _name_spots(s, sign)
+        if len(spots) >= FEWEST_FIELDS and len(spots) > len(best) and not any(c.isalnum() for c in s[: spots[0][0]]):
+            best = spots
+    ends = [a for a, _, _ in best[1:]] + [len(s)]
+    return [("".join(s[a:b].split()), s[c:e]) for (a, b, c), e in zip(best, ends, strict=True)] if best else []
 
 
 def canonical(text: str | None) -> Canonical | None:
