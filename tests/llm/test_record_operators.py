@@ -186,6 +186,25 @@ def test_overlap_against_all_pairs(spark):
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_overlap_without_numbers(spark):
+    """One block of 2,000 texts without numbers: few candidates a class, and no near pair is missed."""
+    r = random.Random(6)
+    parts = ["".join(r.sample("轻便防水耐磨静音透气省电折叠柔软抗摔滑茶壶耳机键盘杯书包台灯卧室厨房办公露营地红蓝米白墨绿", 2)) for _ in range(60)]
+    base = ["想买一个" + "".join(r.choices(parts, k=14)) + "的，尽快发货" for _ in range(1900)]
+    data = [(i, r.choice(["train", "eval"]), "s", t) for i, t in enumerate(base)]
+    for k in range(100):
+        t = list(base[k])
+        for _ in range(4):
+            t[r.randrange(len(t))] = r.choice("甲乙丙丁")
+        data.append((5000 + k, "eval" if data[k][1] == "train" else "train", "s", "".join(t)))
+    df = spark.createDataFrame(data, "task_id long, tag string, source string, instruction string")
+    texts = overlap.class_texts(overlap.classed(df))
+    assert texts.select("classes").distinct().count() == 1 and overlap.bands_of(2000)[0] > 2
+    assert overlap.candidate_pairs(texts).count() < 50 * len(data)
+    got = {tuple(sorted((x.train_id, x.held_id))) for x in overlap.overlaps(df).collect()}
+    assert {(k, 5000 + k) for k in range(100)} <= got
+
+
 PRODUCT = "listing_id long, title string, brand string, attributes array<string>"
 
 
