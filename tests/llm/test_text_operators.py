@@ -109,13 +109,26 @@ def test_canonical_instructions():
     assert canonical("a 2.50 b 3").numbers == "2.5 3"
 
 
+def _votes(text):
+    return [{v for i, v in enumerate(abuse.VOTERS) if bits >> i & 1} for bits in abuse.windows([text]).votes().tolist()]
+
+
 def test_abuse_plain_forms():
-    plain = lambda s: [p for p, _ in abuse.sentences(s)]
-    assert plain("给 差 评 的 都 是 狗 - 东 西") == ["给差评的都是狗东西"]
-    assert plain("what a d.u.m.b.a.s.s") == ["what a dumbass"] and plain("the seller is a L#$#R") == ["the seller is a loser"]
-    assert plain("你是jian人") == ["你是贱人"] and plain("ｂ​itttch") == ["bitch"]
-    assert plain("USB 线, trash bags, classic") == ["usb 线,trash bags", "trash bags,classic"]
-    assert plain("") == [] and plain(" 。\n") == []
+    assert abuse.plain("给 差 评 的 都 是 狗 - 东 西") == "给差评的都是狗东西"
+    words = lambda s: abuse.plain(s).replace(abuse.MARK, "")
+    assert words("what a d.u.m.b.a.s.s") == "what a dumbass" and words("the seller is a L#$#R") == "the seller is a loser"
+    assert words("你是jian人") == "你是贱人" and words("ｂ​itttch") == "bitch" and words("约\n炮") == "约炮"
+    assert abuse.plain("<p>a &lt; b</p>" + "x" * 99 + "<a href='" + "y" * 200 + "'>").split() == ["a", "b", "x" * 99]
+    assert abuse.plain(None) == "" and len(abuse.windows(["", None, " 。\n"]).text) == 0
+
+
+def test_abuse_windows_and_rules():
+    assert [len(abuse.windows([t]).text) for t in ("a", "a, b", "a, b, c", "a. b", "1,5 m", "")] == [1, 1, 2, 2, 1, 0]
+    assert list(abuse.windows(["a", None, "b, c, d", "e"]).text) in ([0, 2, 2, 3], [2, 2, 0, 3])
+    assert _votes("不好意思,包装脏了") == [{"compound", "trade_zh"}] and _votes("USB cable") == [set()]
+    assert "contempt_of_group" in _votes("those immigrants are thieves")[0] and _votes("for women and men") == [set()]
+    assert "putdown" in _votes("你还好意思说")[0] and "threat" not in _votes("杀菌灯")[0]
+    assert abuse.windows(["一只 猫"]).votes().tolist() == [0]
 
 
 GOOD = ["这款{}的外壳防水吗", "傻瓜相机选购先看{}", "物流走了3天,{}有点湿", "Bought it for my {}, never bent", "I hate the new {} packaging", "东西太垃圾了,{}三天就变形", "The {} was dented but fine"]
@@ -136,6 +149,98 @@ def test_abuse_held_out(spark):
     assert abuse.scored(none, *abuse.fit(none)[1:]).count() == 0
 
 
+# Sentences of no template of the tables, written before any of them was scored.
+UNSEEN_BAD = """你个蠢驴卖家怎么还没倒闭
+就这智商也出来开店,回去读小学吧
+客服脑子进水了吧,问啥啥不知道
+你全家都是骗子,不得好死
+信不信我找人打断你两条胳膊
+再发垃圾短信我捅死你
+南方人都是骗子,千万别买他们家的
+那群移民就是一群寄生虫
+女人懂什么数码,回家做饭去吧
+这种乡巴佬也配用苹果手机
+穷人就不配进我们店
+残疾人就别出来丢人现眼了
+老板是个王八羔子,收钱不发货
+一群饭桶,连个快递都寄不明白
+你妈生你的时候把脑子忘了吧
+小姐姐今晚寂寞,加微信陪你裸聊
+高清色情资源,私聊领取
+她脱光衣服躺在床上呻吟
+想舔你的奶子
+同城约 炮,包夜五百
+你就是个 f w,别开店了
+滚蛋吧你,死骗子
+You are the dumbest moron I ever dealt with
+the seller is a lying piece of shit
+I know where you live and I will hurt you
+hope you rot in hell, you scammer
+all those foreigners are criminals, deport them
+women are too stupid to review electronics
+poor people should be banned from this store
+these muslims are vermin
+shut up you brainless idiot
+your mother should have taught you manners, loser
+horny tonight, send nudes on cam chat
+she moaned while he stripped her naked
+hot porn videos, dm me
+what an a$$hole, never answers
+you b1tch, give my money back
+go back to your village, filthy peasant""".split("\n")
+UNSEEN_GOOD = """客服态度一般,等了半小时才回复
+这价格太坑了,感觉被骗了
+电池续航烂得要死,退了
+女款偏小,男士建议拍大一码
+适合老人和小孩使用,字很大
+床上四件套很柔软,晚上睡得香
+胸围90的穿L码刚好
+味道辣得变态,过瘾
+声音大得吵死人,不推荐
+外国人也来问链接,哈哈
+狗狗很喜欢这个窝
+猪肉脯好吃,回购三次
+这个刀真快,切肉杀鱼都行
+快递小哥把箱子摔坏了,气死我了
+不好意思问一下,能开发票吗
+脏了也好洗,白色耐看
+老板人很好,还送了贴纸
+说明书全是英文,看不懂
+你家的杯子什么时候补货
+黑人牙膏是正品吗
+躺着看手机的支架,很稳
+下面的抽屉有点卡
+婴儿湿巾没有刺激味道
+游戏里总是打死我,鼠标太慢
+This blender is a monster, love it
+the color is ugly but it works
+my old phone is dead, this one is great
+killer deal for the price
+it sucks the dust very well
+the men's version runs large, women should size down
+breast milk storage bags leak
+the strip lights are bright at night
+I hate waiting for delivery
+shoot in low light without noise
+dirty after one week, easy to wash
+the battery died in two days, total garbage
+our dog destroyed it within an hour
+cheap trash, broke immediately""".split("\n")
+
+
+def test_abuse_in_sentences_of_no_template(spark):
+    """Precision and recall over sentences that neither the tables nor the voters hold."""
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not __import__("os").path.exists(data):
+        pytest.skip("no test tables here")
+    _, w, b = abuse.fit(spark.read.parquet(data))
+    rows = [(i, "s", t) for i, t in enumerate(UNSEEN_BAD + UNSEEN_GOOD)]
+    got = {x.doc_id for x in abuse.scored(spark.createDataFrame(rows, "doc_id long, source string, text string"), w, b).collect() if x.score >= abuse.FOUND_FROM}
+    right = sum(i < len(UNSEEN_BAD) for i in got)
+    print("recall", right / len(UNSEEN_BAD), "precision", right / max(1, len(got)), [t for i, _, t in rows if (i < len(UNSEEN_BAD)) != (i in got)])
+    assert right / len(UNSEEN_BAD) >= 0.4 and right / len(got) >= 0.9
+
+
 def test_normal_forms_agree():
     assert all(unicodedata.normalize("NFC", c) == c for c in lookalikes.CYRILLIC[1] + lookalikes.GREEK[1])
 

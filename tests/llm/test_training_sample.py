@@ -3,20 +3,20 @@ import numpy as np
 from trailmart.llm import abuse
 
 
-def test_whole_sentences_are_learnt_and_rows_may_share_a_key(spark):
+def test_whole_windows_are_learnt_and_rows_may_share_a_key(spark):
     long = "好" * 3000 + "茶白痴"
     texts = spark.createDataFrame([(1, long)] * 50, "doc_id long, text string")
-    rows = abuse.sample_sentences(texts, abuse.pattern_counts(texts), 10_000)
-    ((plain, disguised),) = abuse.sentences(long)
-    assert [(list(f), b, n) for f, b, n in rows] == [(list(abuse.features(plain)), abuse.votes(plain, disguised), 50.0)]
-    assert set(abuse.features("茶白痴")) <= set(rows[0][0])
+    rows = abuse.sample_windows(texts, abuse.pattern_counts(texts), 10_000)
+    own = abuse.windows([long])
+    assert [(list(f), b, n) for f, b, n in rows] == [(sorted(own.bucket), int(own.votes()[0]), 50.0)]
+    assert set(abuse.windows(["茶白痴"]).bucket) <= set(rows[0][0])
     keyless = spark.createDataFrame([(None, f"{chr(0x5000 + i)}的白痴") for i in range(400)], "doc_id long, text string")
-    drawn = abuse.sample_sentences(keyless, abuse.pattern_counts(keyless), 40)
+    drawn = abuse.sample_windows(keyless, abuse.pattern_counts(keyless), 40)
     assert 15 < len(drawn) < 70
     assert abs(sum(w for _, _, w in drawn) - 400) < 200
 
 
 def test_training_does_not_depend_on_the_number_of_rows():
-    rows = [(np.array([1, 2]), 1.0, 1.0), (np.array([2, 3]), 0.0, 5.0), (np.array([3]), 0.0, 4.0)]
-    (w, b), (w_many, b_many) = abuse.train(rows), abuse.train([(f, y, n * 1e4) for f, y, n in rows])
+    rows = [(np.array([1, 2]), 1, 1.0, 1.0), (np.array([2, 3]), 0, 0.0, 5.0), (np.array([3]), 0, 0.0, 4.0)]
+    (w, b), (w_many, b_many) = abuse.train(rows), abuse.train([(f, v, y, n * 1e4) for f, v, y, n in rows])
     assert np.allclose(w, w_many) and abs(b - b_many) < 1e-6

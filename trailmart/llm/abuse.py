@@ -1,19 +1,22 @@
 """Score documents for abusive, hateful or sexually explicit language by weak supervision.
 
-1. Texts are cut into sentences and brought to a plain form: width, case, invisible and look-alike
-   characters, signs within a word, stretched letters, digits for letters, pinyin for characters.
-2. Lexicon and pattern voters each vote abusive, harmless or nothing on every sentence.
-3. A generative label model is fitted on the counts of vote patterns of all sentences: expectation
+1. Texts are brought to a plain form: width, case, invisible and look-alike characters, markup, signs within a word,
+   stretched letters, digits for letters, pinyin for characters. They are cut into sentences and clauses, and read
+   in windows of two neighbouring clauses, whatever their length.
+2. Lexicon and pattern voters (``abuse_words``) each vote abusive, harmless or nothing on every window. An automaton
+   finds the words of all classes; a voter is a rule over the classes found, such as a group of people with contempt.
+3. A generative label model is fitted on the counts of vote patterns of all windows: expectation
    maximisation estimates the voters' accuracies, conditional correlations between voters then
    discount those that repeat each other, and the posterior of each pattern is taken again.
-4. A linear classifier on hashed character and word n-grams is trained on the posteriors of a
-   sample of sentences, at most ``SAMPLE`` with and twice as many without an abusive vote, each weighted
+4. A linear classifier on hashed character and word n-grams and on the votes is trained on the posteriors of a
+   sample of windows, at most ``SAMPLE`` with and twice as many without an abusive vote, each weighted
    by the inverse of its share, so that a score does not depend on the size of the corpus.
-5. The score of a document is that of its worst sentence.
+5. The score of a document is that of its worst window.
 
-Patterns are counted over all documents; only the classifier sees a sample, which a hash draws.
-Null and blank texts score 0. Repeated rows are scored each on their own. Very long texts are
-scored as a whole, sentence by sentence.
+A batch is one array of characters: cutting, hashing and scoring are array operations over all its texts.
+Batches are bounded by bytes, and nothing of a text is kept beyond its batch. Patterns are counted over all
+documents; only the classifier sees a sample, which a hash draws.
+Null and blank texts score 0. Repeated rows are scored each on their own. Very long texts are scored as a whole.
 """
 
 from __future__ import annotations
@@ -23,55 +26,32 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import spread, table
+from .abuse_words import BIT, CLASSES, INSULTS_EN, INSULTS_ZH, LEET, PINYIN, POSITIVE, SEXUAL_EN, SEXUAL_ZH, SIGNS, VOTERS, WRITINGS, votes_of
 from .bpe import chunks
-from .lookalikes import CYRILLIC, GREEK
+from .lookalikes import CYRILLIC, GREEK, INVISIBLE_PATTERN
 
-#: Most sampled sentences with an abusive vote (twice as many without), size of the hashed feature space, most distinct vote patterns, score of a found document.
+#: Most sampled windows with an abusive vote (twice as many without), size of the hashed feature space, most distinct vote patterns, score of a found document.
 SAMPLE, DIMENSIONS, MOST_PATTERNS, FOUND_FROM = 30_000, 1 << 17, 50_000, 0.5
-#: Sum of the weights in training, to which its decay is relative.
-TOTAL = 60_000
-
-# Insults and sexual words, with the pinyin of their characters and other writings.
-INSULTS_ZH = "傻逼 脑残 蠢猪 神经病 贱人 畜生 王八蛋 狗东西 废物 白痴 杂种 人渣 贱货 智障 弱智 蠢货 混蛋 婊子 狗娘养".split()
-SEXUAL_ZH = "约炮 一夜情 裸聊 口交 啪啪 做爱 成人视频 卖淫 嫖娼 黄片 性交".split()
-PINYIN = dict(
-    pair.split(":")
-    for pair in "傻:sha 逼:bi 脑:nao 残:can 蠢:chun 猪:zhu 神:shen 经:jing 病:bing 贱:jian 人:ren 畜:chu 生:sheng 王:wang 八:ba 蛋:dan 狗:gou 东:dong 西:xi "
-    "废:fei 物:wu 白:bai 痴:chi 杂:za 种:zhong 渣:zha 货:huo 智:zhi 障:zhang 弱:ruo 混:hun 婊:biao 子:zi 娘:niang 养:yang 约:yue 炮:pao 一:yi 夜:ye 情:qing "
-    "裸:luo 聊:liao 口:kou 交:jiao 啪:pa 做:zuo 爱:ai 成:cheng 视:shi 频:pin 卖:mai 淫:yin 嫖:piao 娼:chang 黄:huang 片:pian 性:xing".split()
-)
-OTHER_WRITINGS = {"傻逼": ["煞笔", "傻x", "傻叉", "沙比", "傻b", "(?<![a-z0-9])sb(?![a-z0-9]|[ -]?[0-9])"], "废物": ["肥物", "(?<![a-z0-9])fw(?![a-z0-9]|[ -]?[0-9])"], "脑残": ["(?<![a-z0-9])nc(?![a-z0-9]|[ -]?[0-9])卖家"], "裸聊": ["果聊"], "约炮": ["约💥", "约p(?![a-z])"]}
-INSULTS_EN = "idiot moron loser bastard bitch scumbag dumbass asshole retard whore slut fucker motherfucker cunt dickhead".split()
-SEXUAL_EN = "porn sex nudes".split()
-LEET = {"a": "a@4", "b": "b8", "e": "e3", "g": "g9", "i": "i1!", "l": "l1", "o": "o0", "s": "s$5", "t": "t7+"}
-
-_SIGN = r"[\s.*_/|+^#~·-]{0,4}"
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
-_TWINS = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
-_MARKUP = re.compile(r"<[^<>]{1,60}>|&[a-z]{2,6};")
-_CUT = re.compile(r"[。!?;\n\r…]+|\.(?=\s|$)|~+(?=\s|$)|(?<=\.)\.+")
-_HAN = "一-鿿"
-_GAPS = re.compile(rf"(?<=[{_HAN}])[\s.*_/|+^#~·-]{{1,4}}(?=[{_HAN}])")
-
+#: Sum of the weights in training, to which its decay is relative; bytes of text in one batch of arrays.
+TOTAL, BATCH_BYTES = 60_000, 1_000_000
 
-def _han_pattern(word: str) -> str:
-    """A word with signs between its characters, or one character in pinyin or by its first letter."""
-    forms = [list(word)]
-    for i, c in enumerate(word):
-        for other in (PINYIN[c], PINYIN[c][0] if i else None):
-            if other:
-                edge = "(?![a-z])" if i == len(word) - 1 else ""
-                start = "(?<![a-z])" if i == 0 else ""
-                forms.append([*word[:i], start + other + edge, *word[i + 1 :]])
-    return "|".join([_SIGN.join(f) for f in forms] + OTHER_WRITINGS.get(word, []))
+_HAN = "一-鿿"
+_FOREIGN = re.compile("[Ͱ-ӿԀ-ԯ]")
+_TWINS = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
+_MARKUP = re.compile(r"</?[a-z][^<>]*>|&[a-z]+;|&#\d+;")
+#: Spaces between longer runs of characters part sentences; signs and spaces between single ones are disguise or habit.
+_WIDE_GAP = re.compile(rf"(?<=[{_HAN}]\S{{3}})\s+(?=\S{{4}})|(?<=\S{{4}})\s+(?=[{_HAN}]\S{{3}})")
+_GAPS = re.compile(rf"(?<=[{_HAN}])[ \t.*_/|+^#~·-]{{1,4}}(?=[{_HAN}])")
+#: Follows a word that was written in disguise.
+MARK = "\ue000"
 
 
 def _latin_pattern(word: str) -> str:
@@ -79,119 +59,212 @@ def _latin_pattern(word: str) -> str:
     letters = []
     for i, c in enumerate(word):
         inner = 0 < i < len(word) - 1
-        chars = LEET.get(c, c) + ("*#" if inner else "")
-        letters.append("[" + re.escape(chars) + "]+")
+        letters.append("[" + re.escape(LEET.get(c, c) + ("*#" if inner else "")) + "]+")
     return r"(?<![a-z0-9])" + r"[\s._*-]{0,2}".join(letters) + r"(?:e?s)?(?![a-z0-9])"
 
 
-#: Of each Chinese word: characters of which every written form has at least one.
-_HAN_WORDS = [((w[0], w[1]), re.compile(_han_pattern(w)), w) for w in INSULTS_ZH + SEXUAL_ZH]
-_OTHERS = [(re.compile("|".join(forms)), w) for w, forms in OTHER_WRITINGS.items()]
-_ANY_OTHER = re.compile("|".join(f for forms in OTHER_WRITINGS.values() for f in forms))
 _LATIN_WORDS = [(re.compile(_latin_pattern(w)), w) for w in INSULTS_EN + SEXUAL_EN]
 _ANY_LATIN = re.compile("|".join(p.pattern for p, _ in _LATIN_WORDS))
-_HAS_LATIN = re.compile("[a-z]")
-_WIDE_GAP = re.compile(rf"(?<=[{_HAN}].{{3}})\s+(?=\S{{4}})|\s+(?=[{_HAN}]\S{{3}})(?<=\S{{4}}\s)")
-_CLAUSE = re.compile(r"\s*[,、:]\s*(?![0-9])")
-#: Sentences of more clauses are read in windows of two neighbouring clauses.
-MOST_CLAUSES = 2
-
-
-def sentences(text: str) -> Iterator[tuple[str, bool]]:
-    """The plain form of each sentence (or window of clauses), and whether a word in it was disguised."""
-    s = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).translate(_TWINS).casefold()
-    s = _INVISIBLE.sub("", _MARKUP.sub(" ", s))
-    for part in _CUT.split(s):
-        part = part.strip(" ~.,")
-        if part:
-            yield from _plain(part)
-
-
-def _reveal(part: str) -> tuple[str, bool]:
-    """The text with disguised words in their usual writing."""
-    changed = part
-    for anchors, pattern, word in _HAN_WORDS:
-        if anchors[0] in part or anchors[1] in part:
-            changed = pattern.sub(word, changed)
-    if _HAS_LATIN.search(part) or "肥" in part or "煞" in part or "沙" in part or "果" in part or "约" in part or "叉" in part:
-        if _ANY_OTHER.search(changed):
-            for pattern, word in _OTHERS:
-                changed = pattern.sub(word, changed)
-        if _ANY_LATIN.search(changed):
-            for pattern, word in _LATIN_WORDS:
-                changed = pattern.sub(lambda m, w=word: m.group() if m.group().startswith(w) else w, changed)
-    return changed, changed != part
-
-
-def _plain_now(part: str) -> tuple[tuple[str, bool], ...]:
-    part, disguised = _reveal(part)
-    out = []
-    for piece in _WIDE_GAP.split(part):
-        piece = _GAPS.sub("", piece)
-        clauses = _CLAUSE.split(piece) if len(piece) > 24 else [piece]
-        if len(clauses) <= MOST_CLAUSES:
-            out.append((piece, disguised))
-        else:
-            out += [(f"{a},{b}", disguised) for a, b in zip(clauses, clauses[1:])]
-    return tuple(out)
-
-
-_plain = lru_cache(100_000)(_plain_now)
-
-
-def _any(*alternatives: str) -> re.Pattern:
-    return re.compile("|".join(alternatives))
-
-
-_GROUP = "(?:外地人|乡下人|女人|男人|老头老太|老人|残疾人|说土话的|山那边来的|那帮移民|移民|信那个教的|南方人|北方人|黑人|穷人)"
-_GROUP_EN = r"(?:immigrants|women|men|old folks|disabled people|hill people|people from the \w+|those believers|foreigners|you people)"
-# The voters. Each has a name, its vote, and a pattern over the plain form.
-VOTERS: list[tuple[str, int, re.Pattern]] = [
-    ("insult_zh", 1, _any(*INSULTS_ZH)),
-    ("insult_en", 1, _any(rf"\b(?:{'|'.join(INSULTS_EN)})\b")),
-    ("sexual_zh", 1, _any(*SEXUAL_ZH)),
-    ("sexual_en", 1, _any(r"\b(?:porn|nudes|oral sex|hardcore sex|naked cam|strip you naked|had \w+ sex|looking for sex|sex tonight)\b")),
-    ("explicit_zh", 1, _any("露点.{0,4}胸", "胸好大", "下面都?湿", "快来摸我", "脱光了", "全裸无遮挡", "一边呻吟", "按在床上", "姐姐寂寞")),
-    ("explicit_en", 1, _any("moaned", r"naked tonight", r"no limits", r"send nudes", r"cam chat", r"want to strip")),
-    ("threat_zh", 1, _any("弄死你", "打断你的腿", "等着挨揍", "被车撞死", "快去死", "全家暴毙", "早晚遭报应", "砍死你", "杀了你", "杀你全家")),
-    ("threat_en", 1, _any(r"kill yourself", r"drop dead", r"break your (?:arms|legs|neck)", r"family chokes", r"i will (?:find|kill) you", r"hope you die")),
-    ("demean_zh", 1, _any("活着就是浪费粮食", "低人一等", "不配用好", "全是寄生虫", "低得像牲口", "这种人脏", "幼儿园没毕业", "会不会说人话", "长成这样还好意思", "你妈没教你", "你爹我", "脑子被门夹", "滚远点", "闭嘴吧")),
-    ("demean_en", 1, _any(r"born stupid", r"dirty animals", r"vermin", r"all thieves", r"back where they came", r"better off if", r"too ugly", r"brainless", r"nobody asked you", r"can't even read")),
-    ("group_zh", 1, _any(rf"{_GROUP}.{{0,2}}(?:天生就?|生来|都是小偷|就不配|都赶走)", rf"(?:不卖给|一看就是|跟){_GROUP}", rf"把{_GROUP}都赶走", rf"{_GROUP}(?:滚回|滚出)")),
-    ("group_en", 1, _any(rf"(?:typical|never trust|send) {_GROUP_EN}", rf"{_GROUP_EN} (?:are (?:born|vermin|all)|just disappeared)", rf"{_GROUP_EN} in support, every")),
-    ("address_zh", 1, _any("你(?:这种人|爹|妈没)", "(?:卖家|店主|客服).{0,3}(?:遭报应|去死|撞死)", "写这条评论的人是", "给差评的都是", "你也配")),
-    ("address_en", 1, _any(r"\byou \w{0,12}(?:idiot|asshole|bastard|bitch|loser|moron)", r"what an? (?:idiot|asshole|bastard|bitch|loser|moron|scumbag|dumbass)", r"go kill", r"shut up")),
-    ("offer", 1, _any("资源打包,?私聊", "服务上门.{0,12}元一次", "加v看", r"dm me for", r"tonight, [0-9.]+ yuan per hour", r"click my profile")),
-    ("goods_zh", -1, _any("其他地方没什么毛病", "选购先看", "试了[0-9]+家店", "请问这款", "已经回购", "质量一般", "退货原因", "派上用场", "价格最低", "到手以后", "个月", "实物比图片", "说明书", "刚刚好", "道检测", "建议", "七天无理由", "声音不大", "包装", "物流", "发货", "赠品", "活动价", "价格从", "规格", "搜索", "预算", "耐看")),
-    ("goods_en", -1, _any(r"otherwise fine", r"bought it for", r"compare the", r"fair price", r"return reason", r"second purchase", r"we keep one", r"out of the box", r"instruction", r"thanks for asking", r"larger size", r"than the photo", r"the box was", r"the manual", r"support answered", r"i waited", r"feels \w", r"changed the price")),
-    ("harmless_zh", -1, _any("傻瓜(?:相机|式)", "垃圾(?:袋|桶|分类)", "太垃圾了", "处女座", "乳头不疼", "直男审美", "变态辣", "杀菌", "死结", "公鸡碗", "死机", "纸尿裤", "杀疯了", "内衣", "笑死", "鸡胸肉", "烂透了", "性价比", "滚筒")),
-    ("harmless_en", -1, _any(r"hate the new", r"stupidly easy", r"shoot with", r"dumb phone", r"trash bag", r"adult size", r"chicken breast", r"cockpit", r"total garbage", r"breast pump", r"screw set", r"damn good", r"is a beast")),
-    ("page", -1, _any("之间有一条缝", r"kills any wall", "可点击", "点击了", r"click\[", r"search\[", r"https?:", "搜索功能")),
-]
-DISGUISED = len(VOTERS)
-NAMES = [n for n, _, _ in VOTERS] + ["disguised"]
-
-
-def votes(plain: str, disguised: bool) -> int:
-    """The voters that vote on a sentence, as bits."""
-    bits = 0
-    for i, (_, _, pattern) in enumerate(VOTERS):
-        if pattern.search(plain):
-            bits |= 1 << i
-    return bits | 1 << DISGUISED if disguised and bits & WORDS else bits
-
-
-@lru_cache(200_000)
-def votes_of(plain: str, disguised: bool) -> int:
-    return votes(plain, disguised)
-
-
-#: Voters for words that may be disguised, and all voters for abusive.
-WORDS = sum(1 << i for i, (n, _, _) in enumerate(VOTERS) if n.startswith(("insult", "sexual")))
-POSITIVE = sum(1 << i for i, (_, v, _) in enumerate(VOTERS) if v > 0) | 1 << DISGUISED
-
-
-SIGN = np.array([v for _, v, _ in VOTERS] + [1])
+#: Latin words that may be in disguise: signs or digits within, three equal letters, single letters in a row.
+_SUSPECT = re.compile(r"[a-z@$!0-9][*#@$!+_0-9]+[a-z@$*#]|[a-z$@][.-][a-z$@][.-]|([a-z])\1\1|(?<![a-z])[a-z] [a-z] [a-z](?![a-z])|[@$][a-z]{2}")
+
+
+def _variants() -> dict[str, str]:
+    """Writings of Chinese words over two lines or with one character in pinyin or by its first letter, of Latin words with a space within."""
+    out = dict(WRITINGS)
+    for w in INSULTS_ZH + SEXUAL_ZH:
+        for i, c in enumerate(w):
+            if i:
+                out.setdefault(w[:i] + "\n" + w[i:], w)
+            if c in PINYIN:
+                out.setdefault(w[:i] + PINYIN[c] + w[i + 1 :], w)
+                out.setdefault(w[:i] + PINYIN[c][0] + w[i + 1 :], w)
+    return out | {f"{w[:i]} {w[i:]}": w for w in INSULTS_EN + SEXUAL_EN for i in range(1, len(w))}
+
+
+@lru_cache(1)
+def _automata() -> tuple:
+    """The automaton of disguised writings, and that of the words of all classes."""
+    import ahocorasick
+
+    written, classes = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for form, word in _variants().items():
+        written.add_word(form, (len(form), word))
+    masks: dict[str, int] = {MARK: BIT["disguised"]}
+    for name, words in CLASSES.items():
+        for w in words:
+            if w:
+                masks[w] = masks.get(w, 0) | BIT[name]
+    for w, mask in masks.items():
+        classes.add_word(w, (len(w), mask, w[0].isascii() and w[0].isalnum(), w[-1].isascii() and w[-1].isalnum()))
+    written.make_automaton()
+    classes.make_automaton()
+    return written, classes
+
+
+def _alnum(s: str, i: int) -> bool:
+    return 0 <= i < len(s) and s[i].isascii() and s[i].isalnum()
+
+
+def _revealed(s: str) -> str:
+    """The text with disguised words in their usual writing, each followed by MARK."""
+    spots, upto = [], 0
+    for end, (size, word) in _automata()[0].iter(s):
+        a, b = end - size + 1, end + 1
+        short = size == 2 and s[a].isascii()  # one letter and one character are read so if the letter is stretched
+        while a > upto and s[a].isascii() and s[a - 1] == s[a]:
+            a, short = a - 1, False
+        if short and s[a:b] not in WRITINGS or a < upto or s[a].isascii() and _alnum(s, a - 1) or s[end].isascii() and (_alnum(s, b) or b + 1 < len(s) and s[b] in " -" and s[b + 1].isdigit()):
+            continue
+        spots.append((a, b, word))
+        upto = b
+    if spots:
+        out, at = [], 0
+        for a, b, word in spots:
+            out += [s[at:a], word, MARK]
+            at = b
+        s = "".join([*out, s[at:]])
+    if _SUSPECT.search(s) and _ANY_LATIN.search(s):
+        for pattern, word in _LATIN_WORDS:
+            s = pattern.sub(lambda m, w=word: m.group() if m.group() in (w, w + "s", w + "es") else w + MARK, s)
+    return s
+
+
+def plain(text: str | None) -> str:
+    """The plain form of a whole text."""
+    if not text:
+        return ""
+    s = unicodedata.normalize("NFKC", INVISIBLE_PATTERN.sub("", text)).casefold()
+    if _FOREIGN.search(s):
+        s = s.translate(_TWINS)
+    if "<" in s or "&" in s:
+        s = _MARKUP.sub(" ", s)
+    s = _GAPS.sub("", _WIDE_GAP.sub("\n", s))
+    return _revealed(s)
+
+
+def _table(*kinds: tuple[int, str]) -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint8)
+    for bit, chars in kinds:
+        out[[ord(c) for c in chars]] |= bit
+    return out
+
+
+HAN, LATIN, END, CLAUSE, SPACE, DIGIT = 1, 2, 4, 8, 16, 32
+_KINDS = _table((END, "。!?;\n\r~"), (CLAUSE, ",、:"), (SPACE, " \t\n\r"), (LATIN, "abcdefghijklmnopqrstuvwxyz'"), (DIGIT, "0123456789"))
+_KINDS[0x4E00:0xA000] |= HAN
+_RANDOM = np.random.default_rng(11).integers(1, 2**63, 70, dtype=np.uint64) | np.uint64(1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+class Windows(NamedTuple):
+    """The windows of a batch of texts: the text of each, and its first and last clause (the same for a lone one)."""
+
+    text: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    #: Of the features of all clauses: the clause, the bucket, and the hash; in order of the clause.
+    clause: np.ndarray
+    bucket: np.ndarray
+    hash: np.ndarray
+    #: Of each clause the classes found.
+    mask: np.ndarray
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the features of each window, from values of the features."""
+        own = np.bincount(self.clause, values, len(self.mask))
+        return own[self.first] + np.where(self.last > self.first, own[self.last], 0)
+
+    def sizes(self) -> np.ndarray:
+        return self.sums(np.ones(len(self.clause)))
+
+    def votes(self) -> np.ndarray:
+        """The vote pattern of each window."""
+        masks, at = np.unique(self.mask[self.first] | self.mask[self.last], return_inverse=True)
+        return np.array([_votes(int(m)) for m in masks], np.int64)[at]
+
+
+_votes = lru_cache(100_000)(votes_of)
+
+
+def windows(texts: list[str | None]) -> Windows:
+    """Cut texts into windows with their features and classes."""
+    forms = [plain(t) for t in texts]
+    joined = "\n".join(forms) + "\n"
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KINDS[np.minimum(cp, 0xFFFF)]
+    after = np.append(kind[1:], np.uint8(SPACE))
+    dot = cp == ord(".")
+    end = (kind & END > 0) | dot & ((after & SPACE > 0) | np.append(dot[1:], False) | np.append(False, dot[:-1]))
+    cut = end | (kind & CLAUSE > 0) & (after & DIGIT == 0)
+    clause_at, sentence_at = np.cumsum(cut) - cut, np.cumsum(end) - end
+    n = int(clause_at[-1]) + 1
+
+    han, han_next = kind & HAN > 0, after & HAN > 0
+    code = cp.astype(np.uint64)
+    pair = np.flatnonzero(han & han_next)
+    triple = pair[:-1][np.diff(pair) == 1] if len(pair) else pair
+    alone = np.flatnonzero(han & ~han_next & ~np.append(False, han[:-1]))
+    latin = kind & LATIN > 0
+    start = np.flatnonzero(latin & ~np.append(False, latin[:-1]))
+    stop = np.flatnonzero(latin & ~np.append(latin[1:], False)) + 1
+    letters = np.flatnonzero(latin)
+    of = np.repeat(np.arange(len(start)), stop - start)
+    word = np.zeros(len(start), np.uint64)
+    if len(start):
+        word = _mix(np.add.reduceat(_mix(code[letters] + _RANDOM[4]) * _RANDOM[6 + (letters - start[of]) % 64], np.concatenate([[0], np.cumsum(stop - start)[:-1]])))
+    near = np.flatnonzero(clause_at[start[1:]] == clause_at[start[:-1]]) if len(start) > 1 else np.array([], np.int64)
+    at = np.concatenate([pair, triple, alone, start, start[near]])
+    grams = np.concatenate([
+        code[pair] * _RANDOM[0] + code[pair + 1] * _RANDOM[1], code[triple] * _RANDOM[0] + code[triple + 1] * _RANDOM[1] + code[triple + 2] * _RANDOM[2] + _RANDOM[3],
+        code[alone] * _RANDOM[5], word, word[near] * _RANDOM[0] + word[near + 1] * _RANDOM[1],
+    ])
+    order = np.argsort(clause_at[at], kind="stable")
+    clause, hashed = clause_at[at][order], _mix(grams[order])
+
+    mask = np.zeros(n, np.int64)
+    for where, bits in _found(joined):
+        mask[clause_at[where]] |= bits
+    used = np.flatnonzero((np.bincount(clause, minlength=n) > 0) | (mask > 0))
+    first_at = np.searchsorted(clause_at, used)
+    sentence = sentence_at[first_at]
+    same = np.flatnonzero(sentence[1:] == sentence[:-1])
+    has_next, has_before = np.zeros(len(used), bool), np.zeros(len(used), bool)
+    has_next[same], has_before[same + 1] = True, True
+    lone = np.flatnonzero(~has_next & ~has_before)
+    first, last = np.concatenate([used[same], used[lone]]), np.concatenate([used[same + 1], used[lone]])
+    offsets = np.cumsum([0] + [len(f) + 1 for f in forms])
+    text = np.searchsorted(offsets, first_at[np.concatenate([same, lone])], "right") - 1
+    return Windows(text, first, last, clause, (hashed >> np.uint64(40)).astype(np.int64) % DIMENSIONS, hashed, mask)
+
+
+def _found(s: str) -> list[tuple[int, int]]:
+    """Place and classes of each word found; a word within a harmless compound does not count."""
+    hits, compounds = [], []
+    for end, (size, mask, left, right) in _automata()[1].iter(s):
+        a = end - size + 1
+        if left and _alnum(s, a - 1):
+            continue
+        if right and _alnum(s, end + 1):
+            b = end + (2 if s[end + 1] == "s" else 3 if s.startswith("es", end + 1) else 0)
+            if b == end or _alnum(s, b):
+                continue
+        hits.append((a, end, mask))
+        if mask & BIT["compound"]:
+            compounds.append((a, end))
+    if compounds:
+        covered = {i for a, b in compounds for i in range(a, b + 1)}
+        spans = set(compounds)
+        hits = [(a, b, m) for a, b, m in hits if a not in covered or b not in covered or (a, b) in spans]
+    return [(a, m) for a, _, m in hits]
+
+
+SIGN = np.array(SIGNS)
+NAMES = VOTERS
 #: Pseudo-votes by which a voter is at first taken to be right nine times in ten; bounds of the accuracies;
 #: share of its weight that a vote for harmless keeps beside one for abusive, as a harmless clause says little about its neighbour.
 PSEUDO, LEAST_ACCURACY, MOST_ACCURACY, BESIDE = 20.0, 0.55, 0.99, 0.3
@@ -243,38 +316,29 @@ class LabelModel:
         return {n: round(float(a), 4) for n, a, used in zip(NAMES, self.accuracy, self.n @ self.x, strict=True) if used}
 
 
-_LATIN_WORD = re.compile(r"[a-z']+|[0-9]+")
-_HAN_RUN = re.compile(rf"[{_HAN}]+")
-
-
-def features(plain: str) -> np.ndarray:
-    """Hashed n-grams: two and three characters of Chinese, one and two Latin words."""
-    grams = []
-    for run in _HAN_RUN.findall(plain):
-        grams += [run[i : i + 2] for i in range(len(run) - 1)] + [run[i : i + 3] for i in range(len(run) - 2)]
-        if len(run) == 1:
-            grams.append(run)
-    words = [w for w in _LATIN_WORD.findall(plain) if not w[0].isdigit()]
-    grams += words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return np.array(sorted({xxhash.xxh32_intdigest(g) % DIMENSIONS for g in grams}), np.int64)
+def _rules(bits: np.ndarray) -> np.ndarray:
+    """Vote patterns as rows of 0 and 1."""
+    return ((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
 
 
-def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 200, rate: float = 1.0, decay: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Logistic regression on (features, soft label, weight) by adaptive gradient steps over whole batches.
+def train(rows: list[tuple[np.ndarray, int, float, float]], steps: int = 200, rate: float = 1.0, decay: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on (n-grams, votes, soft label, weight) by adaptive gradient steps over whole batches.
 
-    Weights are brought to a sum of ``TOTAL``, so that ``decay`` means the same for any number of rows.
+    The votes are features beside the n-grams, so that words which no sampled window has count as far as they
+    belong to a class. Weights are brought to a sum of ``TOTAL``, so that ``decay`` means the same for any number of rows.
     """
-    sizes = np.array([max(1, len(f)) for f, _, _ in rows])
-    flat = np.concatenate([f if len(f) else np.array([0]) for f, _, _ in rows])
+    sizes = np.array([max(1, len(f)) for f, *_ in rows])
+    flat = np.concatenate([f if len(f) else np.array([0]) for f, *_ in rows])
     of = np.repeat(np.arange(len(rows)), sizes)
-    label, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    votes = _rules(np.array([r[1] for r in rows], np.int64))
+    label, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
     weight = weight * (TOTAL / weight.sum())
     scale = 1 / np.sqrt(sizes)
-    w, b, seen, seen_b = np.zeros(DIMENSIONS), 0.0, np.full(DIMENSIONS, 1e-8), 1e-8
+    w, b, seen, seen_b = np.zeros(DIMENSIONS + len(VOTERS)), 0.0, np.full(DIMENSIONS + len(VOTERS), 1e-8), 1e-8
     for _ in range(steps):
-        z = np.bincount(of, w[flat], len(rows)) * scale + b
+        z = np.bincount(of, w[flat], len(rows)) * scale + votes @ w[DIMENSIONS:] + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
-        grad = np.bincount(flat, (error * scale)[of], DIMENSIONS) + decay * w
+        grad = np.concatenate([np.bincount(flat, (error * scale)[of], DIMENSIONS), error @ votes]) + np.where(np.arange(len(w)) < DIMENSIONS, decay, 1e-2) * w
         seen += grad * grad
         seen_b += error.sum() ** 2
         w -= rate * grad / np.sqrt(seen)
@@ -285,15 +349,14 @@ def train(rows: list[tuple[np.ndarray, float, float]], steps: int = 200, rate: f
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
     for batch in batches:
-        for _, texts in chunks(batch, 1):
-            for t in texts:
-                if t:
-                    count.update(votes_of(*s) for s in sentences(t))
+        for _, texts in chunks(batch, 1, BATCH_BYTES):
+            bits, n = np.unique(windows(texts).votes(), return_counts=True)
+            count.update(dict(zip(bits.tolist(), n.tolist(), strict=True)))
     yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["bits", "n"])
 
 
 def pattern_counts(texts: DataFrame) -> dict[int, int]:
-    """How many sentences of all documents have each pattern of votes; patterns are few, and their number is checked."""
+    """How many windows of all documents have each pattern of votes; patterns are few, and their number is checked."""
     counted = texts.mapInArrow(_patterns, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n"))
     rows = counted.limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
@@ -301,11 +364,11 @@ def pattern_counts(texts: DataFrame) -> dict[int, int]:
     return {r.bits: r.n for r in rows}
 
 
-def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[np.ndarray, int, float]]:
-    """(features, votes, weight) of the sentences whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
+def sample_windows(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[np.ndarray, int, float]]:
+    """(features, votes, weight) of the windows whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
 
-    Features are those of the whole sentence. Sentences of equal features and votes are one row; its weight is
-    their number over the share, which estimates that of all such sentences. More distinct ones than the shares can give are an error, never cut.
+    Windows of equal features and votes are one row; its weight is their number over the share, which
+    estimates that of all such windows. More distinct ones than the shares can give are an error, never cut.
     """
     hot = sum(n for b, n in patterns.items() if b & POSITIVE)
     cold = sum(patterns.values()) - hot
@@ -313,21 +376,27 @@ def sample_sentences(texts: DataFrame, patterns: dict[int, int], sample: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, rows in chunks(batch, 1):
-                grams, votes = [], []
-                for key, t in zip(part.column(0).to_pylist(), rows, strict=True):
-                    for i, s in enumerate(sentences(t) if t else ()):
-                        bits = votes_of(*s)
-                        # the sentence is hashed too, as rows may share a key
-                        if xxhash.xxh32_intdigest(f"{key}/{i}/{s[0]}") < share[bool(bits & POSITIVE)] * 2**32:
-                            grams.append(features(s[0]).astype(np.int32))
-                            votes.append(bits)
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), pa.array(votes, pa.int64())], names=["grams", "bits"])
+            for part, rows in chunks(batch, 1, BATCH_BYTES):
+                w = windows(rows)
+                bits = w.votes()
+                own = np.zeros(len(w.mask), np.uint64)
+                np.add.at(own, w.clause, w.hash)
+                keys = np.array([(k or 0) & (2**63 - 1) for k in part.column(0).to_pylist()], np.uint64)
+                # place and content of a window are hashed with the row's key, as rows may share a key
+                drawn = _mix(_mix(own[w.first] * _RANDOM[0] + own[w.last] * _RANDOM[1]) + keys[w.text] * _RANDOM[2])
+                limit = np.where(bits & POSITIVE > 0, share[True], share[False])
+                picked = np.flatnonzero(drawn / 2.0**64 < limit)
+                low, high = np.searchsorted(w.clause, np.arange(len(w.mask))), np.searchsorted(w.clause, np.arange(len(w.mask)), "right")
+                grams = []
+                for i in picked:
+                    a, b = w.first[i], w.last[i]
+                    grams.append(np.sort(np.concatenate([w.bucket[low[a] : high[a]], w.bucket[low[b] : high[b]]]) if b > a else w.bucket[low[a] : high[a]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), pa.array(bits[picked], pa.int64())], names=["grams", "bits"])
 
     drawn = texts.mapInArrow(run, "grams array<int>, bits long").groupBy("grams", "bits").agg(F.count("*").alias("n"))
     rows = drawn.limit(4 * sample + 1).collect()
     if len(rows) > 4 * sample:
-        raise ValueError("more sentences drawn than their shares can give")
+        raise ValueError("more windows drawn than their shares can give")
     return [(np.array(g, np.int64), b, n / share[bool(b & POSITIVE)]) for g, b, n in sorted(map(tuple, rows))]
 
 
@@ -335,13 +404,13 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | None,
     texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"))
     patterns = pattern_counts(texts)
     if not patterns:
-        return None, np.zeros(DIMENSIONS, np.float32), -30.0
+        return None, np.zeros(DIMENSIONS + len(VOTERS), np.float32), -30.0
     model = LabelModel(patterns)
-    rows = sample_sentences(texts, patterns, sample)
+    rows = sample_windows(texts, patterns, sample)
     labels = [model.by_bits.get(b, 0.0) for _, b, _ in rows]
     hot = max(1.0, sum(y * n for y, (_, _, n) in zip(labels, rows, strict=True)))
     balance = max(1.0, (sum(n for _, _, n in rows) - hot) / hot) ** 0.5
-    w, b = train([(f, y, n * (balance if y > 0.5 else 1.0)) for (f, _, n), y in zip(rows, labels, strict=True)])
+    w, b = train([(f, bits, y, n * (balance if y > 0.5 else 1.0)) for (f, bits, n), y in zip(rows, labels, strict=True)])
     return model, w, b
 
 
@@ -351,16 +420,16 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = sent.value
-
-        @lru_cache(200_000)
-        def score(plain: str) -> float:
-            f = features(plain)
-            return float(1 / (1 + np.exp(-np.clip(w[f].sum() / max(1, len(f)) ** 0.5 + b, -30, 30)))) if len(f) else 0.0
-
         for batch in batches:
-            for part, texts in chunks(batch, 2):
-                worst = [max((score(s) for s, _ in sentences(t)), default=0.0) if t else 0.0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(worst, pa.float64())], names=["doc_id", "source", "score"])
+            for part, texts in chunks(batch, 2, BATCH_BYTES):
+                own = windows(texts)
+                size = own.sizes()
+                patterns, at = np.unique(own.votes(), return_inverse=True)
+                z = own.sums(w[own.bucket]) / np.sqrt(np.maximum(size, 1)) + (_rules(patterns) @ w[DIMENSIONS:])[at] + b
+                worst = np.full(len(texts), -700.0)
+                np.maximum.at(worst, own.text, z)
+                score = np.where(worst > -700.0, 1 / (1 + np.exp(-np.clip(worst, -30, 30))), 0.0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64())], names=["doc_id", "source", "score"])
 
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).mapInArrow(run, "doc_id long, source string, score double")
 

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from ..sources import spread, table
 from ..sources.tables import cut
-from .abuse import _INVISIBLE as INVISIBLE
-from .lookalikes import CYRILLIC, GREEK, HYPHENS
+from .lookalikes import CYRILLIC, GREEK, HYPHENS, INVISIBLE_PATTERN
 
 #: Most brands of the brand table, listings of a brand in one task, and share of its plain uses that a common word has beside codes.
 MOST_BRANDS, PART_ROWS, COMMON_SHARE = 100_000, 20_000, 0.2
@@ -55,7 +54,7 @@ def plain(text: str | None) -> str:
     """Folded text in one form; the capital G of memory sizes stays."""
     if not text:
         return ""
-    s = unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).translate(_TWINS)
+    s = unicodedata.normalize("NFKC", INVISIBLE_PATTERN.sub("", text)).translate(_TWINS)
     s = _MEMORY.sub("\x01", s).casefold().replace("\x01", "G")
     return re.sub(r"\s", " ", unicodedata.normalize("NFC", s))
 

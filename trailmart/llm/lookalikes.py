@@ -14,6 +14,7 @@ their difference. Null stays null; an empty text, or one of invisible characters
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -31,6 +32,8 @@ GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳϲνορόΆΈΌΊΎ", "ABEZHIKMNOPTYX
 HYPHENS = ("‐‑", "--")
 SPACES = "               　\t"
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]"
+#: The same for Python.
+INVISIBLE_PATTERN = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m.group(1), 16)), INVISIBLE))
 #: Texts of these characters only are in the one form already.
 ORDINARY = "[ -~\\x{3001}-\\x{3029}\\x{4E00}-\\x{9FFF}]*"
 #: Blocks whose characters are other writings of plain ones: full width; Roman numerals, radicals, ligatures, half width, letter-like digits.
