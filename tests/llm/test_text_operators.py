@@ -118,7 +118,7 @@ def test_abuse_plain_forms():
     words = lambda s: abuse.plain(s).replace(abuse.MARK, "")
     assert words("what a d.u.m.b.a.s.s") == "what a dumbass" and words("the seller is a L#$#R") == "the seller is a loser"
     assert words("你是jian人") == "你是贱人" and words("ｂ​itttch") == "bitch" and words("约\n炮") == "约炮"
-    assert abuse.plain("<p>a &lt; b</p>" + "x" * 99 + "<a href='" + "y" * 200 + "'>").split() == ["a", "b", "x" * 99]
+    assert abuse.plain("<p>a &lt; b</p>" + "k" * 99 + "<a href='" + "y" * 200 + "'>").split() == ["a", "b", "k" * 99]
     assert abuse.plain(None) == "" and len(abuse.windows(["", None, " 。\n"]).text) == 0
 
 
