@@ -59,7 +59,7 @@ CASES = {
     ("unparseable_state_controls",): lambda m: m[3].update(content="可点击的按钮: [1]"),
     ("repeated_state_action_loop",): lambda m: (m[5].update(content=m[3]["content"]), m[6]["tool_calls"][0].update(function=copy.deepcopy(m[4]["tool_calls"][0]["function"]))),
     ("privileged_label_leak",): lambda m: m[0].update(content='{"goal_options":["红"]}'),
-    ("privileged_observation_leak",): lambda m: m[3].update(content=m[3]["content"] + " Reward Details [SEP]"),
+    ("privileged_observation_leak",): lambda m: m[3].update(content="Reward Details [SEP]\n" + m[3]["content"]),
     ("invalid_conversation_role_sequence", "not_single_turn_conversation", "privileged_observation_leak"): lambda m: m.insert(8, {"role": "user", "content": "x"}),
     ("missing_conversation", "invalid_conversation_role_sequence", "not_single_turn_conversation", "no_actions"): lambda m: m.clear(),
 }

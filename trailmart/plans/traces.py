@@ -78,12 +78,12 @@ def trace_instructions(spark, sf_dir: str) -> DataFrame:
 _LINE = traces.ACTION_LINE
 _T = rf"""t AS (SELECT doc_id, regexp_extract_all(text, '{_LINE}') AS lines, list_transform(regexp_split_to_array(text, '{_LINE}'), lambda s: regexp_replace(regexp_replace(s, '\A\n', ''), '\n\z', '')) AS states FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '{_LINE}')),
     a AS (SELECT doc_id, CAST(unnest(range(len(lines))) AS INT) AS place, unnest(lines) AS line, unnest(states[:len(lines)]) AS state, unnest(states[2:]) AS response FROM t),
-    x AS (SELECT *, CASE WHEN regexp_matches(line, '^(?:search|搜索)') THEN 'search' ELSE 'click' END AS tool, regexp_extract(line, '^[^\[“]*[\[“]([^\]”]+)', 1) AS argument FROM a)"""
+    x AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(line, '^(?:search|搜索)') THEN 'search' ELSE 'click' END AS tool, regexp_extract(line, '^[^\[“]*[\[“]([^\]”]+)', 1) AS argument FROM a)"""
 _FLAG = r"lower(regexp_extract_all({0}, '(?i)搜索功能是否可用:\s*(True|False)', 1)[-1])"
 _BUTTONS = r"TRY_CAST(regexp_extract_all({0}, '可点击的按钮:\s*(\[[^\n]*\])', 1)[-1] AS JSON)"
 _LISTED = "(json_type({0}) = 'ARRAY' AND len(list_filter(CAST({0} AS JSON[]), lambda j: json_type(j) <> 'VARCHAR')) = 0)"
-_B = _BUTTONS.format("state")
-_Y = f"y AS (SELECT *, {_FLAG.format('state')} AS flag, CASE WHEN {_LISTED.format(_B)} THEN list_transform(CAST({_B} AS VARCHAR[]), lambda b: lower(trim(b))) END AS buttons FROM x)"
+_Y = f"""z AS MATERIALIZED (SELECT *, {_FLAG.format('state')} AS flag, {_BUTTONS.format('state')} AS j FROM x),
+    y AS MATERIALIZED (SELECT doc_id, state, tool, argument, flag, CASE WHEN {_LISTED.format('j')} THEN list_transform(CAST(j AS VARCHAR[]), lambda b: lower(trim(b))) END AS buttons FROM z)"""
 
 ORACLES = {
     "trace_actions": f"WITH {_T} SELECT doc_id, place, tool, argument FROM x",
