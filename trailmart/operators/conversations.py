@@ -18,6 +18,11 @@ LEAK_MARKS = ('"reward_detail"', '"goal_options"', '"price_upper"', "正确答
 IGNORE = -100
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row: the optimiser does not copy it into later expressions and their lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def from_chat(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, messages): the messages of a chat text in order; each begins with a line that names a role.
 
@@ -37,7 +42,7 @@ def from_trace(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     lines = F.regexp_extract_all(text, F.lit(traces.ACTION_LINE), F.lit(0))
     states = F.transform(F.split(text, traces.ACTION_LINE), lambda s: F.regexp_replace(s, r"\A\n|\n\z", ""))
-    rows = docs.filter(F.col(text).isNotNull()).select(key, lines.alias("_lines"), states.alias("_states")).filter(F.size("_lines") > 0)
+    rows = once(docs.filter(F.rlike(text, F.lit(traces.ACTION_LINE))), "_log", F.struct(lines.alias("lines"), states.alias("states"))).select(key, F.col("_log.lines").alias("_lines"), F.col("_log.states").alias("_states"))
 
     def message(role, content, call_id=None, calls=None):
         none = F.lit(None)
@@ -50,7 +55,7 @@ def from_trace(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     start = F.array(message(F.lit("system"), F.lit("")), message(F.lit("user"), F.get("_states", F.lit(0))))
     turns_ = F.flatten(F.transform("_lines", lambda x, i: F.array(message(F.lit("assistant"), F.lit(""), calls=call(x, i)), message(F.lit("tool"), F.coalesce(F.get("_states", i + 1), F.lit("")), call_id=F.concat(F.lit("call_"), i)))))
-    return rows.select(key, F.concat(start, turns_).alias("conversation"))
+    return once(rows, "conversation", F.concat(start, turns_)).select(key, "conversation")
 
 
 def is_role(m: Column, role: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import traces
-from .conversations import LEAK_MARKS
+from .conversations import LEAK_MARKS, once
 
 # Tools with the argument they need, and marks of results that only the last tool message may hold.
 TOOLS = {"search": "keywords", "click": "value"}
@@ -147,8 +147,7 @@ def leakage(messages: Column) -> Column:
 def verify_messages(trajectories: DataFrame, key: str, messages: str = "conversation", prompt_hash: str | None = None, instruction_hash: Column | None = None) -> DataFrame:
     """(key, reasons, num_tool_calls, repeated_action_count): the checks of shape, of every action, and of leaks."""
     known = F.coalesce(F.col(messages), F.from_json(F.lit("[]"), trajectories.schema[messages].dataType))
-    base = trajectories.withColumn("_m", known)
-    read = base.withColumn("_a", _read(_calls(F.col("_m"))))
+    read = once(once(trajectories, "_m", known), "_a", _read(_calls(F.col("_m"))))
     acted = F.filter("_a", lambda x: x["stop"].isNull())
     ids = F.filter(F.transform("_a", lambda x: x["id"]), lambda i: i != "")
     pairs = F.transform(acted, lambda x: F.concat(F.sha2(x["state"], 256), x["signature"]))
@@ -162,8 +161,7 @@ def verify_messages(trajectories: DataFrame, key: str, messages: str = "conversa
 
 def action_statistics(trajectories: DataFrame, key: str, messages: str = "conversation") -> DataFrame:
     """(key, searches, clicks, distinct_actions, repeated): what was done, repeats counted over the whole conversation."""
-    acted = F.filter(_read(_calls(F.col(messages))), lambda x: x["stop"].isNull())
-    base = trajectories.select(key, acted.alias("a"))
+    base = once(trajectories, "a", F.filter(_read(_calls(F.col(messages))), lambda x: x["stop"].isNull()))
     named = lambda n: F.size(F.filter("a", lambda x: x["name"] == n))
     signatures = F.transform("a", lambda x: x["signature"])
     return base.select(key, named("search").alias("searches"), named("click").alias("clicks"), F.size(F.array_distinct(signatures)).alias("distinct_actions"), repeats(signatures).alias("repeated"))
