@@ -37,9 +37,16 @@ def test_fuzzy():
     assert fuzzy.token_set_ratio("", "a") == 0 and fuzzy.partial_ratio("abc", "xxabcxx") == 100
     assert fuzzy.partial_ratio("", "") == 100 and fuzzy.partial_ratio("", "a") == 0
     assert 60 < fuzzy.ratio("kitten", "sitting") < 70
-    assert not fuzzy.numbers_agree("50W", "500W") and fuzzy.numbers_agree("50W", "watt")
-    assert fuzzy.matched_share([], ["a"], fuzzy.partial_ratio, 85) == 1.0
-    assert fuzzy.matched_share(["50W", None], ["500W"], fuzzy.partial_ratio, 85) == 0.0
+    assert not fuzzy.numbers_agree("50W", "500W") and not fuzzy.numbers_agree("50W", "watt") and fuzzy.numbers_agree("watt", "50W")
+    assert fuzzy.matched_share([], ["a"]) == 1.0 and fuzzy.matched_share([None, " "], None) == 1.0 and fuzzy.matched_share(["a"], None) == 0.0
+    assert fuzzy.matched_share(["50W", None], ["500W"]) == 0.0
+    assert fuzzy.matched_share(["500w 电机"], ["w 电机"]) == 0.0  # numbers against none
+    assert fuzzy.matched_share(["ＡＢＣ"], ["abc"]) == 1.0
+    assert fuzzy.matched_share(["防水耐磨"], ["防水", "耐磨"]) == 1.0 and fuzzy.matched_share(["防水5"], ["防水", "x"]) == 0.0  # joined texts serve words only
+    assert fuzzy.matched_share(["50瓦", "防水"], ["500瓦", "防水"]) == 0.5 and fuzzy.matched_share(["亮银50W"], ["高亮500W"]) == 0.0
+    assert fuzzy.token_set_matches(["dark navy 5"], ["dark 7"]) == 1.0  # one colour; no guard of numbers here
+    assert fuzzy.attribute_matches(["red cotton", "easy wash"], ["cotton red"], ["very Easy Wash cloth", None]) == 1.0 and fuzzy.attribute_matches(["x"], None, None) == 0.0
+    assert fuzzy.first_colour("") == "" and fuzzy.first_colour("米白") == "米白"
 
 
 def test_html():

@@ -1,0 +1,54 @@
+import json
+
+import pytest
+
+from trailmart.operators import masks
+from trailmart.operators.conversations import IGNORE
+
+T = masks.ByteTokenizer()
+CALL = [{"id": "1", "type": "function", "function": {"name": "click", "arguments": '{"value": "杯"}'}}]
+CHAT = [{"role": "system", "content": "s"}, {"role": "user", "content": "u<|im_end|>"}, {"role": "assistant", "content": "", "tool_calls": CALL}, {"role": "tool", "content": "page"}, {"role": "assistant", "content": "好"}]
+
+
+def test_only_actions_and_their_end_are_learnt():
+    ids, attended, labels, cut = masks.labelled(CHAT, T)
+    assert len(ids) == len(labels) == sum(attended) and not cut
+    learnt, other = masks.audit(ids, labels, T)
+    assert learnt == '<tool_call>\n{"name": "click", "arguments": {"value": "杯"}}\n</tool_call><|im_end|>\n好<|im_end|>\n'
+    assert "assistant\n<think>" in other and "page" in other and "page" not in learnt
+    assert T.decode(ids) == "".join(p for p, _ in masks.pieces(CHAT))
+
+
+def test_a_cut_action_is_not_learnt():
+    ids, _, labels, _ = masks.labelled(CHAT, T)
+    for n in range(len(ids) - 8, len(ids)):
+        own, _, kept, cut = masks.labelled(CHAT, T, n)
+        assert len(own) == n and own == ids[:n]
+        if own[-1] == 257:
+            assert not cut and kept == labels[:n]
+        elif labels[n - 1] != IGNORE:
+            assert cut and kept[-1] == IGNORE and T.decode([x for x in kept if x != IGNORE]).endswith("</tool_call><|im_end|>\n")
+    with pytest.raises(ValueError):
+        masks.labelled(CHAT, T, 20)
+
+
+def test_errors_and_parts():
+    for bad in (None, [], CHAT[:2], [{"role": "assistant", "content": "x", "reasoning_content": "why"}]):
+        with pytest.raises(ValueError):
+            masks.labelled(bad, T)
+    with pytest.raises(ValueError):
+        masks.mask_prefixes([1, 2, 1, 2], [1, 1, 0, 1], [1, 2], 2)
+    assert masks.replaced_exactly("a b a", "a", "c", 2) == "c b c"
+    with pytest.raises(ValueError):
+        masks.replaced_exactly("a b a", "a", "c", 1)
+    assert masks.chatml(CHAT[:2]) == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nu<|im_end|><|im_end|>\n<|im_start|>assistant\n"
+    assert T.encode("") == [] and T.decode(T.encode("a<|im_end|>茶")) == "a<|im_end|>茶"
+
+
+def test_encode_labelled(spark):
+    schema = "id int, messages array<struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>"
+    df = spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps({"id": 1, "messages": CHAT}), json.dumps({"id": 2, "messages": None}), json.dumps({"id": 3, "messages": CHAT[:1]})]))
+    got = {r.id: r for r in masks.encode_labelled(df, "id", "messages").collect()}
+    assert list(got[1].input_ids) == masks.labelled(CHAT, T)[0] and got[1].error is None
+    assert got[2].error == got[3].error == "no assistant message" and list(got[3].labels) == []
+    assert masks.encode_labelled(df.limit(0), "id", "messages").count() == 0

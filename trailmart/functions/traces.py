@@ -17,7 +17,7 @@ CONTROLS = "\n\n搜索功能是否可用:"
 INSTRUCTION, SEPARATOR, ANSWER = "Instruction: ", "[SEP]", "\nAction: "
 #: A JSON list of texts and nothing else.
 TEXTS = r'^\[\s*(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*(?:,\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*)*+)?\]\s*$'
-ACTION_LINE = r"(?m)^(?:search\[[^\]\n]+\][^\n]*|click\[[^\]\n]+\][^\n]*|搜索“[^”\n]+”返回[^\n]*|用户点击了规格“[^”\n]+”[^\n]*)$"
+ACTION_LINE = r"(?md)^(?:search\[[^\]\n]+\][^\n]*|click\[[^\]\n]+\][^\n]*|搜索“[^”\n]+”返回[^\n]*|用户点击了规格“[^”\n]+”[^\n]*)$"
 
 
 def action_name(action: Column | str) -> Column:

@@ -29,7 +29,7 @@ def from_chat(docs: DataFrame, key: str, text: str) -> DataFrame:
     Lines without a role belong to the message before them; those before the first role, and texts without one, are left out.
     """
     named = "|".join(ROLES)
-    parts = F.filter(F.split(text, f"(?m)^(?={named})"), lambda p: F.rlike(p, F.lit(f"^(?:{named})")))
+    parts = F.filter(F.split(text, f"(?md)^(?={named})"), lambda p: F.rlike(p, F.lit(f"^(?:{named})")))
     role = lambda p: F.coalesce(*(F.when(F.startswith(p, F.lit(k)), F.lit(r)) for k, r in ROLES.items()))
     messages = F.transform(parts, lambda p: F.struct(role(p).alias("role"), F.regexp_replace(p, rf"^(?:{named})|\n\z", "").alias("content")))
     return docs.filter(F.col(text).isNotNull()).select(key, messages.alias("messages")).filter(F.size("messages") > 0)
@@ -170,13 +170,13 @@ def without_block(conversations: DataFrame, block: str, messages: str = "message
 def label_masks(conversations: DataFrame, key: str, longest: int | None = None, pad_to: int = 8) -> DataFrame:
     """(key, input_ids, labels, attention_mask): only assistant characters are learnt.
 
-    Ids are code points, a stand-in for a tokenizer (``llm.masks`` counts tokens). Samples are masked, cut at ``longest``
-    if it is given, and padded to a multiple of ``pad_to``.
+    Ids are code points; ``masks.encode_labelled`` takes a tokenizer. Whole conversations are masked, cut
+    at ``longest`` if it is given, and padded to a multiple of ``pad_to``.
     """
     chars = lambda s: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
     parts = F.transform("messages", lambda m: F.transform(chars(m["content"]), lambda i: F.struct(i.alias("id"), F.when(is_role(m, "assistant"), i).otherwise(IGNORE).alias("label"))))
     whole = F.flatten(parts)
-    flat = conversations.select(key, (whole if longest is None else F.slice(whole, 1, longest)).alias("t"))
+    flat = once(conversations, "t", whole if longest is None else F.slice(whole, 1, longest))
     room = F.pmod(-F.size("t"), F.lit(pad_to))
     padded = lambda field, value: F.concat(F.transform("t", lambda x: x[field]), F.array_repeat(F.lit(value), room))
     return flat.select(key, padded("id", 0).alias("input_ids"), padded("label", IGNORE).alias("labels"), F.concat(F.transform("t", lambda x: F.lit(1)), F.array_repeat(F.lit(0), room)).alias("attention_mask"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import conversations as conv
-from ..operators import metrics
+from ..operators import masks, metrics
 from ..sources import table
 from ..streaming import events as ev
 
@@ -72,8 +72,8 @@ def chat_export(spark, sf_dir: str) -> DataFrame:
 
 
 def chat_mask_stats(spark, sf_dir: str) -> DataFrame:
-    """Masks of the first 2048 characters of each chat only, as the SQL of this query states; ``chat_mask_totals`` has whole chats."""
-    return conv.mask_stats(conv.label_masks(_chats(spark, sf_dir), "doc_id", 2048))
+    """Samples, trained, attended and padded characters of whole chats."""
+    return conv.mask_stats(conv.label_masks(_chats(spark, sf_dir), "doc_id"))
 
 
 def chat_mask_totals(spark, sf_dir: str) -> DataFrame:
@@ -81,6 +81,12 @@ def chat_mask_totals(spark, sf_dir: str) -> DataFrame:
     return conv.mask_totals(conv.label_masks(_chats(spark, sf_dir), "doc_id"), LIMIT)
 
 
+def chat_encoded(spark, sf_dir: str) -> DataFrame:
+    """Chats in ChatML by a tokenizer of bytes: tokens, and those that are learnt."""
+    m = masks.encode_labelled(_chats(spark, sf_dir), "doc_id", "messages")
+    return m.select("doc_id", F.size("input_ids").alias("tokens"), F.size(F.filter("labels", lambda y: y != conv.IGNORE)).alias("trained"), "error")
+
+
 def event_hourly(spark, sf_dir: str) -> DataFrame:
     return ev.hourly(_events(spark, sf_dir))
 
@@ -118,10 +124,10 @@ def event_counters(spark, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("user_id").agg(*(F.count_if(F.col("event_type") == k).alias(k) for k in kinds), F.count("*").alias("actions"))
 
 
-_CHAT = """l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
-    r AS (SELECT doc_id, i, CASE WHEN starts_with(line, '用户：') OR starts_with(line, 'User: ') THEN 'user' WHEN starts_with(line, '客服：') OR starts_with(line, 'Agent: ') THEN 'assistant' END AS role,
-        CASE WHEN starts_with(line, '用户：') OR starts_with(line, '客服：') THEN substr(line, 4) WHEN starts_with(line, 'User: ') THEN substr(line, 7) WHEN starts_with(line, 'Agent: ') THEN substr(line, 8) END AS content FROM l),
-    m AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS place, role, content, CAST(length(content) AS INT) AS chars FROM r WHERE role IS NOT NULL)"""
+_CHAT = r"""l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\z', ''), chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+    r AS (SELECT doc_id, i, CASE WHEN starts_with(line, '用户：') OR starts_with(line, 'User: ') THEN 'user' WHEN starts_with(line, '客服：') OR starts_with(line, 'Agent: ') THEN 'assistant' END AS role, regexp_replace(line, '^(?:用户：|客服：|User: |Agent: )', '') AS line FROM l),
+    n AS (SELECT *, count(role) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+    m AS (SELECT doc_id, CAST(k - 1 AS INT) AS place, max(role) AS role, string_agg(line, chr(10) ORDER BY i) AS content, CAST(length(string_agg(line, chr(10) ORDER BY i)) AS INT) AS chars FROM n WHERE k > 0 GROUP BY doc_id, k)"""
 _E = "e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)"
 _HOURLY = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL"
 _REPEATS = "SELECT event_id, user_id, event_type, coalesce(lag(event_type) OVER w = event_type AND lag(props) OVER w = props, false) AS repeat FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -139,12 +145,13 @@ ORACLES = {
         SELECT doc_id, 'does_not_begin_with_user' AS error FROM w WHERE b IS NULL AND role <> 'user' UNION ALL SELECT doc_id, 'does_not_end_with_assistant' FROM w WHERE a IS NULL AND role <> 'assistant'
         UNION ALL SELECT DISTINCT doc_id, 'role_repeats' FROM w WHERE b = role UNION ALL SELECT DISTINCT doc_id, 'empty_content' FROM w WHERE trim(content, ' ') = ''""",
     "chat_history": f"WITH {_CHAT} SELECT doc_id, place, sha256(array_to_string(list(content) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' [SEP] ')) AS history FROM m",
-    "chat_mask_stats": f"""WITH {_CHAT}, c AS (SELECT doc_id, place, role, chars, sum(chars) OVER (PARTITION BY doc_id ORDER BY place) - chars AS start FROM m), k AS (SELECT doc_id, role, greatest(0, least(chars, 2048 - start)) AS kept FROM c),
-        d AS (SELECT doc_id, sum(kept) AS tokens, sum(kept) FILTER (role = 'assistant') AS trained FROM k GROUP BY ALL)
+    "chat_mask_stats": f"""WITH {_CHAT}, d AS (SELECT doc_id, sum(chars) AS tokens, coalesce(sum(chars) FILTER (role = 'assistant'), 0) AS trained FROM m GROUP BY ALL)
         SELECT count(*) AS samples, CAST(sum(trained) AS BIGINT) AS trained, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum((tokens + 7) // 8 * 8) AS BIGINT) AS padded, round(sum(trained) / sum(tokens), 6) AS fraction FROM d""",
     "chat_mask_totals": f"""WITH {_CHAT}, d AS (SELECT doc_id, sum(chars) AS tokens, coalesce(sum(chars) FILTER (role = 'assistant'), 0) AS trained FROM m GROUP BY ALL)
         SELECT count(*) AS samples, CAST(sum(trained) AS BIGINT) AS trained, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum((tokens + 7) // 8 * 8) AS BIGINT) AS padded,
             count(*) FILTER (tokens > {LIMIT}) AS samples_over, CAST(sum(greatest(tokens - {LIMIT}, 0)) AS BIGINT) AS tokens_over, round(sum(trained) / sum(tokens), 6) AS fraction FROM d""",
+    "chat_encoded": f"""WITH {_CHAT}, d AS (SELECT doc_id, CAST(sum(strlen(content) + length(role) + 4 + CASE WHEN role = 'assistant' THEN {len(masks.EMPTY_THOUGHT)} ELSE 0 END) AS INT) AS tokens, coalesce(CAST(sum(strlen(content) + 2) FILTER (role = 'assistant') AS INT), 0) AS trained FROM m GROUP BY ALL)
+        SELECT doc_id, CASE WHEN trained > 0 THEN tokens ELSE 0 END AS tokens, trained, CASE WHEN trained = 0 THEN 'no assistant message' END AS error FROM d""",
     "event_hourly": _HOURLY,
     "event_hourly_stream": _HOURLY,
     "event_sessions": f"WITH {_E}, s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, k",
@@ -153,4 +160,4 @@ ORACLES = {
     "event_ever_repeated": "SELECT user_id, CAST(sum(n) AS BIGINT) AS actions, count(*) AS kinds, CAST(sum(n - 1) AS BIGINT) AS repeated FROM (SELECT user_id, event_type, props, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL",
     "event_counters": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + ", count(*) AS actions FROM events GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (length_stats, length_quantiles, length_thresholds, length_bins, length_distribution, chat_messages, chat_contexts, chat_order_errors, chat_history, chat_export, chat_mask_stats, chat_mask_totals, event_hourly, event_hourly_stream, event_sessions, event_repeats, event_repeats_stream, event_ever_repeated, event_counters)}
+QUERIES = {f.__name__: f for f in (length_stats, length_quantiles, length_thresholds, length_bins, length_distribution, chat_messages, chat_contexts, chat_order_errors, chat_history, chat_export, chat_mask_stats, chat_mask_totals, chat_encoded, event_hourly, event_hourly_stream, event_sessions, event_repeats, event_repeats_stream, event_ever_repeated, event_counters)}

@@ -71,11 +71,11 @@ def trace_contexts(spark, sf_dir: str) -> DataFrame:
 
 def trace_instructions(spark, sf_dir: str) -> DataFrame:
     """Digest of each instruction that a text states, and how many texts state it."""
-    lines = table(spark, sf_dir, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(Instruction: [^\n]*)$"), F.lit(1))).alias("line"))
+    lines = table(spark, sf_dir, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?md)^(Instruction: [^\n]*)$"), F.lit(1))).alias("line"))
     return lines.groupBy(traces.instruction_hash("line").alias("mark")).agg(F.count("*").alias("uses"))
 
 
-_LINE = traces.ACTION_LINE
+_LINE = traces.ACTION_LINE.replace("(?md)", "(?m)")
 _T = rf"""t AS (SELECT doc_id, regexp_extract_all(text, '{_LINE}') AS lines, list_transform(regexp_split_to_array(text, '{_LINE}'), lambda s: regexp_replace(regexp_replace(s, '\A\n', ''), '\n\z', '')) AS states FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '{_LINE}')),
     a AS (SELECT doc_id, CAST(unnest(range(len(lines))) AS INT) AS place, unnest(lines) AS line, unnest(states[:len(lines)]) AS state, unnest(states[2:]) AS response FROM t),
     x AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(line, '^(?:search|搜索)') THEN 'search' ELSE 'click' END AS tool, regexp_extract(line, '^[^\[“]*[\[“]([^\]”]+)', 1) AS argument FROM a)"""
