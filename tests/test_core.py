@@ -173,7 +173,7 @@ def test_conversations(spark):
     assert errors == {1: {"empty_content"}, 4: {"does_not_begin_with_user", "role_repeats"}}
     assert chats.filter("id = 1").select(conv.longest_prefix(F.col("messages"))).first()[0] == 3
     sample = conv.export(chats, "id").collect()
-    assert [s.id for s in sample] == [1] and [m["content"] for m in json.loads(sample[0]["sample"])["messages"]] == ["你好", "在", "", "ok"]
+    assert [s.id for s in sample] == [1] and [m["content"] for m in json.loads(sample[0]["sample"])["messages"]] == ["你好", "在", "", "ok\nnoise"]
     mask = conv.label_masks(chats.filter("id = 1"), "id", 4).first()
     assert mask.labels == [-100, -100, ord("在"), ord("o"), -100, -100, -100, -100] and mask.attention_mask == [1] * 4 + [0] * 4
     assert mask.input_ids[:2] == [ord("你"), ord("好")]
@@ -198,3 +198,66 @@ def test_terms(spark):
     assert top == {(1, 1): "cat", (2, 1): "dog", (3, 1): "red"}
 
 
+
+
+def test_samplers(spark):
+    rows_ = [(i, "hard" if i % 3 else "simple", f"d{i % 4}", "multi" if i % 2 else "single", f"m{i % 70}") for i in range(100)]
+    df = spark.createDataFrame(rows_, "task_id long, difficulty string, domain string, option_bucket string, mark string")
+    placed = sampling.in_key_order(df.withColumn("task_id", F.col("task_id") * 777), ["domain"], "task_id", "n")
+    for d in range(4):
+        assert [r.n for r in placed.filter(f"domain = 'd{d}'").orderBy("task_id").collect()] == list(range(1, 26))
+    chosen = sampling.pilot(df, 10, "task_id").collect()
+    assert {r.domain for r in chosen} == {"d0", "d1", "d2", "d3"} and sum(r.domain == "d3" and r.difficulty == "hard" and r.option_bucket == "multi" for r in chosen) >= 6
+    with pytest.raises(ValueError):
+        sampling.pilot(df, 3, "task_id")
+    quotas = {"train": {"hard": 50, "simple": 30}, "validation": {"hard": 10}, "reserve": {"hard": 6, "simple": 4}}
+    split = sampling.split_by_quotas(df, "difficulty", "task_id", quotas)
+    counts = {(r.split, r.difficulty): r["count"] for r in split.groupBy("split", "difficulty").count().collect()}
+    assert counts == {(s, d): n for s, q in quotas.items() for d, n in q.items()}
+    for bad in ({"train": {"hard": 66}}, {"train": {"hard": 66, "simple": 33}}):
+        with pytest.raises(ValueError):
+            sampling.split_by_quotas(df, "difficulty", "task_id", bad)
+    with pytest.raises(ValueError):
+        sampling.split_by_quotas(df, "difficulty", "task_id", quotas, "mark")
+    left = sampling.remaining(df, df.filter("task_id < 3"), "task_id", "mark")
+    assert left.count() == 100 - 6 and left.filter("task_id IN (0, 70, 72)").count() == 0
+    pool = spark.createDataFrame([(500, "hard", "d1", "multi", "new"), (501, "hard", "d1", "multi", "new"), (502, "simple", "d2", "single", "m1")], df.schema)
+    got = {r.removed: r.added for r in sampling.refill(df, pool, ["difficulty", "domain", "option_bucket"], "task_id", "mark").collect()}
+    assert set(got) == set(range(70, 100)) and [k for k, v in got.items() if v] == [min(k for k in got if k % 3 and k % 4 == 1)] and 500 in got.values()
+    assert sampling.refill(df.limit(0), pool, ["domain"], "task_id", "mark").count() == 0
+
+
+def test_running_counts(spark):
+    r = random.Random(3)
+    values = [r.choice([1, 2, 5, 1000, 10**9]) * r.randint(1, 9) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    got = {x.value: (x.n, x.upto) for x in metrics.running_counts(df, "v", 10).collect()}
+    assert got == {v: (values.count(v), sum(x <= v for x in values)) for v in set(values)}
+    assert metrics.running_counts(df.limit(0), "v").count() == 0
+    one = spark.createDataFrame([(3,), (3,)], "v long")
+    assert [tuple(x) for x in metrics.running_counts(one, "v").collect()] == [(3, 2, 2)]
+    t = metrics.trained_totals(spark.createDataFrame([(10, 4), (20, 6)], "n int, t int"), "n", "t", 20).first()
+    assert (t.samples, t.samples_at_max, t.tokens, t.trained, t.fraction) == (2, 1, 30, 10, 0.333333)
+
+
+def test_terms_and_goals(spark):
+    from trailmart.operators import goals
+
+    docs = spark.createDataFrame([(1, "a", "red shoe red 12"), (2, "a", "the blue shoe"), (3, None, "x y"), (4, "a", None), (5, "a", "")], "id int, g string, t string")
+    top = catalog.top_terms(docs, "g", "id", "t", stop_words=catalog.STOP_WORDS).collect()
+    assert [(r.id, r.token) for r in sorted(top, key=lambda r: (r.id, r.place)) if r.g] == [(1, "red"), (1, "shoe"), (2, "blue"), (2, "shoe")]
+    pairs = catalog.top_terms(docs, "g", "id", "t", ngrams=(2,), stop_words=catalog.STOP_WORDS).filter("g = 'a'").collect()
+    assert {r.token for r in pairs} == {"red shoe", "shoe red", "blue shoe"}
+    g = spark.createDataFrame([(7, "as", None, "n", '买 "x"', ["a"], ["o"])], "task_id int, asin string, category string, name string, instruction string, attributes array<string>, opts array<string>")
+    goal = goals.goal(g, "task_id", options="opts")
+    row = goals.training_row(goal, "sys").first()
+    truth = json.loads(row.ground_truth)
+    assert truth == {"task_id": 7, "goal": {"asin": "as", "category": "", "name": "n", "instruction_text": '买 "x"', "attributes": ["a"], "goal_options": ["o"]}}
+    assert [m.role for m in row.prompt] == ["system", "user"] and row.prompt[1].content.endswith("可点击的按钮: []")
+    payload = json.loads(goals.start_payload(goal, "task_id").first().payload)
+    assert payload["idx"] == 7 and not payload["done"]
+    many = spark.range(50).withColumnRenamed("id", "task_id")
+    assert goals.chosen_goals(many, "task_id", lambda d: d.task_id % 2 == 0, 5).count() == 5 and goals.chosen_goals(many, "task_id").count() == 50
+    assert one(spark, goals.observation_text(F.array(F.struct(F.lit("A").alias("text"), F.lit(True).alias("button")), F.struct(F.lit(" ").alias("text"), F.lit(False).alias("button"))), True)) == "[button] A [button_]"
+    assert one(spark, F.map_keys(goals.without_weights(F.create_map(F.lit("w_x"), F.lit(1), F.lit("r"), F.lit(2))))) == ["r"]
+    assert one(spark, goals.zip_rows(F.array(F.lit(1)), F.array(F.lit(2)), ("a", "b")))[0].b == 2 and one(spark, goals.zip_rows(F.array(F.lit(1)), F.array().cast("array<int>"), ("a", "b"))) is None

@@ -16,9 +16,9 @@ def test_tags_in_any_writing_and_all_held_out_splits(spark, tmp_path):
         (1, "train", "a", "Red cup"), (2, "Train", "a", "blue cup"), (3, "train\n", "a", "green cup"), (4, " train", "a", "x"), (5, "TRAIN", "a", "y"), (6, "reserve", "backfill", "z"), (7, "Train", "backfill", "q"),
         (8, "EVAL", "a", "red-cup"), (9, "online_dev ", "a", "BLUE cup"), (10, "test", "a", "green cup!"), (11, " Train", "a", "Y"),
     ]
-    spark.createDataFrame([(*r, "d") for r in data], "task_id long, tag string, source string, instruction string, domain string").write.parquet(str(tmp_path / "tasks.parquet"))
-    assert sorted(r.task_id for r in catalog.unseen_train_folded(spark, str(tmp_path)).collect()) == [4, 5, 7, 11]
-    assert [(r.removed, r.added) for r in catalog.dedup_refill_folded(spark, str(tmp_path)).collect()] == [(11, 6)]
+    spark.createDataFrame([(*r, "d", "hard", "multi") for r in data], "task_id long, tag string, source string, instruction string, domain string, difficulty string, option_bucket string").write.parquet(str(tmp_path / "tasks.parquet"))
+    assert sorted(r.task_id for r in catalog.unseen_train(spark, str(tmp_path)).collect()) == [4, 5, 7, 11]
+    assert [(r.removed, r.added) for r in catalog.dedup_refill(spark, str(tmp_path)).collect()] == [(11, 6)]
 
 
 def test_long_rollouts_are_in_the_overflow_bin(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Chinese characters and Latin words of a search text.
 HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"
 WORD = r"[a-z0-9]+(?:[._+\-/][a-z0-9]+)*"
 
@@ -46,6 +47,11 @@ def search_tokens(c: Column | str, fold=F.lower) -> Column:
     return F.array_distinct(F.concat(pairs, F.regexp_extract_all(s, F.lit(f"({WORD})"), F.lit(1))))
 
 
+def word_sequence(c: Column | str, fold=F.lower) -> Column:
+    """Words in order, repeats included: Latin words and numbers, and runs of Chinese characters."""
+    return F.regexp_extract_all(query_text(c, fold), F.lit(f"({HAN}|{WORD})"), F.lit(1))
+
+
 def model_numbers(c: Column | str) -> Column:
     """Tokens with both letters and digits."""
     return F.filter(search_tokens(c), lambda t: t.rlike("[a-z]") & t.rlike("[0-9]"))
@@ -91,6 +97,11 @@ SQL_MACROS = {
 }
 
 
+def sql_words(c: str) -> str:
+    """DuckDB SQL of ``word_sequence``."""
+    return f"regexp_extract_all({SQL_MACROS['query_text'].format(c)}, '{HAN}|{WORD}')"
+
+
 def sql_tokens(c: str) -> str:
     """DuckDB SQL of ``search_tokens``; the order of the tokens is not kept."""
     s = SQL_MACROS["query_text"].format(c)

@@ -59,19 +59,36 @@ def length_summary(df: DataFrame, length: Column, *keys: str) -> DataFrame:
     return out.select(*keys, "min", *(F.round(F.col("p")[i], 2).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))), "max", "mean")
 
 
-def ceil_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """(share, value): the smallest value that at least that share of the rows does not exceed.
+def running_counts(df: DataFrame, column: str, slices: int = 1000) -> DataFrame:
+    """(value, n, upto) of each distinct value of a numeric column: its rows, and the rows up to it.
 
-    Works on counts per value, so the sort is over distinct values only.
+    Sums run within slices of the range of values, and over the slices, so no task sorts all values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    reached = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("n").alias("total"))
+    span = counts.agg(F.min("value").cast("double").alias("_low"), F.max("value").cast("double").alias("_high"))  # one row
+    at = F.coalesce(F.floor((F.col("value").cast("double") - F.col("_low")) * (slices - 1) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))), F.lit(0))
+    sliced = counts.crossJoin(F.broadcast(span)).select("value", "n", at.alias("_slice"))
+    ahead = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))  # over ``slices`` rows
+    starts = sliced.groupBy("_slice").agg(F.sum("n").alias("_n")).select("_slice", F.coalesce(ahead, F.lit(0)).alias("_start"))
+    own = F.sum("n").over(Window.partitionBy("_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return sliced.withColumn("_own", own).join(starts, "_slice").select("value", "n", (F.col("_start") + F.col("_own")).alias("upto"))
+
+
+def ceil_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """(share, value): the smallest value that at least that share of the rows does not exceed."""
+    reached = running_counts(df, column)
+    total = reached.agg(F.max("upto").alias("total"))
     asked = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
     joined = reached.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(asked))
     return joined.filter(F.col("upto") >= F.col("share") * F.col("total")).groupBy("share").agg(F.min("value").alias("value"))
 
 
+def trained_totals(df: DataFrame, length: str, trained: str, limit: int) -> DataFrame:
+    """One row: samples, those at or over the limit, tokens, and trained tokens with their share."""
+    out = df.agg(F.count("*").alias("samples"), F.count_if(F.col(length) >= limit).alias("samples_at_max"), F.sum(length).alias("tokens"), F.sum(trained).alias("trained"))
+    return out.withColumn("fraction", F.round(F.col("trained") / F.nullif(F.col("tokens"), F.lit(0)), 6))
+
+
 def dense_histogram(df: DataFrame, column: str) -> DataFrame:
     """(value, n) for each whole number from the smallest to the largest value, zeros included."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n"))
@@ -85,8 +102,7 @@ def bin_counts(df: DataFrame, column: str, low: float, high: float, bins: int) -
 
 
 def distribution(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
-    """(value, share): the share of rows up to each value. Windows run over distinct values, not rows."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.withColumn("upto", upto).crossJoin(F.broadcast(total)).select("value", F.round(F.col("upto") / F.col("total"), digits).alias("share"))
+    """(value, share): the share of rows up to each value."""
+    reached = running_counts(df, column)
+    total = reached.agg(F.max("upto").alias("total"))
+    return reached.crossJoin(F.broadcast(total)).select("value", F.round(F.col("upto") / F.col("total"), digits).alias("share"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import html_text
-from ..functions.text import letters_and_digits, long_ids, nfkc_casefold, numbers, one_tag, path_parts, sql_tokens
-from ..operators import catalog, sampling
+from ..functions.text import letters_and_digits, long_ids, nfkc_casefold, numbers, one_tag, path_parts, sql_words
+from ..operators import catalog, goals, sampling
 from ..sources import table
 from .evaluation import tasks
 
@@ -47,10 +47,18 @@ def attribute_shares(spark, sf_dir: str) -> DataFrame:
     return catalog.attribute_shares(rows, "category")
 
 
+def _titles(spark, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir, "category", "title")
+
+
 def title_terms(spark, sf_dir: str) -> DataFrame:
-    """The five terms that tell each title most from the others of its shop."""
-    rows = table(spark, sf_dir, "products", "listing_id", "shop_id", "title").distinct()
-    return catalog.top_terms(rows, "shop_id", "listing_id", "title")
+    """The five words that tell each title most from the others of its category."""
+    return catalog.top_terms(_titles(spark, sf_dir), "category", "listing_id", "title", stop_words=catalog.STOP_WORDS)
+
+
+def title_bigrams(spark, sf_dir: str) -> DataFrame:
+    """The same with pairs of neighbouring words."""
+    return catalog.top_terms(_titles(spark, sf_dir), "category", "listing_id", "title", stop_words=catalog.STOP_WORDS, ngrams=(2,))
 
 
 def shop_reviews(spark, sf_dir: str) -> DataFrame:
@@ -63,9 +71,9 @@ def shop_reviews(spark, sf_dir: str) -> DataFrame:
 
 def category_overlap(spark, sf_dir: str) -> DataFrame:
     """Path parts that each asked listing shares with the next one of its shop."""
-    p = listings(spark, sf_dir, "shop_id", "category")
-    following = F.lead("category").over(Window.partitionBy("shop_id").orderBy("listing_id"))
-    both = p.withColumn("following", following).filter("category IS NOT NULL AND following IS NOT NULL")
+    p = sampling.in_key_order(listings(spark, sf_dir, "shop_id", "category").filter("shop_id IS NOT NULL"), ["shop_id"], "listing_id", "n")
+    after = p.select("shop_id", (F.col("n") - 1).alias("n"), F.col("category").alias("following"))
+    both = p.join(after, ["shop_id", "n"]).filter("category IS NOT NULL AND following IS NOT NULL")
     return both.select("listing_id", F.size(F.array_intersect(path_parts("category"), path_parts("following"))).cast("long").alias("shared"))
 
 
@@ -92,15 +100,24 @@ def instruction_folded(spark, sf_dir: str) -> DataFrame:
 
 
 def unseen_train(spark, sf_dir: str) -> DataFrame:
-    """Train tasks whose instruction no evaluation task has; tags are exactly 'train' and 'eval', as in the reference and this query's SQL."""
-    t = tasks(spark, sf_dir, "tag", "instruction").withColumn("mark", F.sha2(letters_and_digits("instruction"), 256))
-    return t.filter("tag = 'train'").join(t.filter("tag = 'eval'").select("mark"), "mark", "left_anti").select("task_id")
+    """Train tasks, in any writing of the tag, whose instruction no task of a held-out split has."""
+    return _eligibility(spark, sf_dir).filter("state = 'eligible'").select("task_id").distinct()
 
 
-def unseen_train_folded(spark, sf_dir: str) -> DataFrame:
-    """Train tasks, in any writing of the tag, whose instruction no task of a held-out split has."""
-    t = _tagged(spark, sf_dir, "instruction")
-    return t.filter("split = 'train'").join(t.filter(F.col("split").isin(*HELD_OUT)).select("mark"), "mark", "left_anti").select("task_id").distinct()
+def _eligibility(spark, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    return sampling.eligibility(_tagged(spark, sf_dir, "instruction"), "task_id", "split", "mark", "train", HELD_OUT, low, high)
+
+
+def eligible_audit(spark, sf_dir: str) -> DataFrame:
+    """Of the tasks from number 1000 on, how many are eligible, and how many are left out for which reason."""
+    return _eligibility(spark, sf_dir, 1000).groupBy("state").agg(F.count("*").alias("tasks"))
+
+
+def remaining_tasks(spark, sf_dir: str) -> DataFrame:
+    """Eligible tasks that the stratified sample did not take, neither by their number nor by their instruction."""
+    eligible = _eligibility(spark, sf_dir).filter("state = 'eligible'").select("task_id", "mark").distinct()
+    taken = stratified_sample(spark, sf_dir).select("task_id").join(_tagged(spark, sf_dir, "instruction").select("task_id", "mark"), "task_id")
+    return sampling.remaining(eligible, taken, "task_id", "mark").select("task_id")
 
 
 def _tagged(spark, sf_dir: str, *columns: str) -> DataFrame:
@@ -151,26 +168,60 @@ def cumulative_weights(spark, sf_dir: str) -> DataFrame:
     return counts.withColumn("upto", F.sum("weight").over(Window.orderBy("domain").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def dedup_refill(spark, sf_dir: str) -> DataFrame:
-    """Repeated train instructions and the backfill tasks of their stratum that take their place; tags are exactly 'train', as in this query's SQL."""
-    columns = ["tag", "source", "instruction", "domain"]
-    t = sampling.first_per(tasks(spark, sf_dir, *columns), ["task_id"], columns).filter("domain IS NOT NULL").withColumn("mark", F.sha2(letters_and_digits("instruction"), 256))
-    return sampling.refill(t.filter("tag = 'train' AND source <> 'backfill'"), t.filter("source = 'backfill' AND tag <> 'train'"), ["domain"], "task_id", "mark")
+LABELS = ("difficulty", "domain", "option_bucket")
 
 
-def dedup_refill_folded(spark, sf_dir: str) -> DataFrame:
-    """The same with tags in any writing."""
-    columns = ["tag", "source", "instruction", "domain"]
-    t = sampling.first_per(_tagged(spark, sf_dir, *columns[1:]), ["task_id"], columns).filter("domain IS NOT NULL")
-    return sampling.refill(t.filter("split = 'train' AND source <> 'backfill'"), t.filter("source = 'backfill' AND split <> 'train'"), ["domain"], "task_id", "mark")
+def dedup_refill(spark, sf_dir: str) -> DataFrame:
+    """Repeated train instructions and the backfill tasks of their stratum (three labels) that take their place; tags in any writing."""
+    columns = ["source", "instruction", *LABELS]
+    t = sampling.first_per(_tagged(spark, sf_dir, *columns), ["task_id"], ["tag", *columns]).filter(" AND ".join(f"{c} IS NOT NULL" for c in LABELS))
+    return sampling.refill(t.filter("split = 'train' AND source <> 'backfill'"), t.filter("source = 'backfill' AND split <> 'train'"), list(LABELS), "task_id", "mark")
 
 
 def pilot_choice(spark, sf_dir: str) -> DataFrame:
-    """Three tasks: the first drawn of the largest domains, one each."""
+    """Sixty tasks: one of each domain, then hard ones with several options of the largest domain, then any."""
+    return sampling.pilot(_strata(spark, sf_dir), 60, "task_id", 3).select("task_id", "domain")
+
+
+def quota_splits(spark, sf_dir: str) -> DataFrame:
+    """The stratified sample in three disjoint splits by quotas per difficulty that use it up."""
+    sample = stratified_sample(spark, sf_dir).select("task_id").join(_strata(spark, sf_dir).select("task_id", "difficulty"), "task_id")
+    n = {r.difficulty: r.n for r in sample.groupBy("difficulty").agg(F.count("*").alias("n")).collect()}
+    quotas = {"train": {k: v - v // 5 - v // 10 for k, v in n.items()}, "validation": {k: v // 10 for k, v in n.items()}, "reserve": {k: v // 5 for k, v in n.items()}}
+    return sampling.split_by_quotas(sample, "difficulty", "task_id", quotas).select("task_id", "difficulty", "split")
+
+
+def label_counts(spark, sf_dir: str) -> DataFrame:
+    """Tasks by each of three labels, in order."""
     s = _strata(spark, sf_dir)
-    largest = s.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(3)
-    first = sampling.first_per(s.select("domain", "task_id", sampling.draw_order("task_id", 3).alias("o")), ["domain"], ["o", "task_id"])
-    return first.join(largest, "domain").select("domain", "task_id")
+    long = s.select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in LABELS))).alias("x")).select("x.*")
+    return long.groupBy("label", "value").agg(F.count("*").alias("n")).orderBy("label", "value")
+
+
+def goal_rows(spark, sf_dir: str) -> DataFrame:
+    """The goal of each task: its instruction with the item it asks for, without items that state no attributes."""
+    p = table(spark, sf_dir, "products", "listing_id", "asin", "title", "category", "attributes").filter("asin IS NOT NULL")
+    first = sampling.first_per(p, ["asin"], ["listing_id"])
+    t = sampling.first_per(tasks(spark, sf_dir, "asin", "instruction"), ["task_id"], ["asin", "instruction"]).filter("instruction IS NOT NULL")
+    named = t.join(first, "asin").withColumn("stated", F.filter("attributes", lambda a: a != "")).filter("size(stated) > 0")
+    return goals.goal(named, "task_id", name="title", attributes="stated")
+
+
+def training_rows(spark, sf_dir: str) -> DataFrame:
+    """Goals as rows of a training set: prompt messages and the goal as JSON text."""
+    return goals.training_row(goal_rows(spark, sf_dir), "You are a shopping agent.")
+
+
+def training_row_digests(spark, sf_dir: str) -> DataFrame:
+    """What SQL can repeat of them: the first message, and letters and digits of the goal."""
+    rows = training_rows(spark, sf_dir)
+    return rows.select("task_id", F.sha2(F.get("prompt", F.lit(1))["content"], 256).alias("prompt"), F.get_json_object("ground_truth", "$.goal.asin").alias("asin"), F.sha2(F.get_json_object("ground_truth", "$.goal.name"), 256).alias("name"))
+
+
+def purchase_summaries(spark, sf_dir: str) -> DataFrame:
+    """Goal and purchase of each record with only the fields they have, as JSON text."""
+    r = table(spark, sf_dir, "rollouts", "record_id", "goal", "purchase").dropDuplicates(["record_id"])
+    return r.select("record_id", goals.present("goal").alias("goal"), goals.present("purchase").alias("purchase"))
 
 
 def domain_difficulty_counts(spark, sf_dir: str) -> DataFrame:
@@ -215,25 +266,44 @@ _ALLOCATED = f"""WITH {_S}, g AS (SELECT domain, option_bucket, count(*) AS rows
     a AS (SELECT d.domain, d.option_bucket, rows, CAST(fl + (CASE WHEN fl < rows AND k <= missing THEN 1 ELSE 0 END) - coalesce(minus, 0) AS BIGINT) AS allocated FROM d LEFT JOIN m USING (domain, option_bucket))"""
 _PART = f"CASE WHEN CAST('0x' || substr({_ORDER(42)}, 1, 8) AS BIGINT) % 1000 < 100 THEN 'test' ELSE 'train' END"
 
+_GOALS = """f AS (SELECT DISTINCT ON (asin) * FROM products WHERE asin IS NOT NULL ORDER BY asin, listing_id), k AS (SELECT DISTINCT task_id, asin, instruction FROM tasks WHERE instruction IS NOT NULL),
+    g AS (SELECT task_id, asin, coalesce(category, '') AS category, coalesce(title, '') AS name, instruction AS instruction_text, list_filter(attributes, lambda a: a <> '') AS attributes FROM k JOIN f USING (asin) WHERE len(list_filter(attributes, lambda a: a <> '')) > 0)"""
+_STOP = ", ".join("'" + w + "'" for w in catalog.STOP_WORDS)
+
+
+def _terms_sql(n: int) -> str:
+    words = f"list_filter({sql_words('title')}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]{{1,3}}$'))"
+    return f"""WITH {_P}, w AS (SELECT category, listing_id, {words} AS ws FROM p WHERE category IS NOT NULL), t AS (SELECT category, listing_id, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i:i + {n} - 1], ' '))) AS token FROM w),
+        c AS (SELECT category, listing_id, token, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT category, count(*) AS n FROM w GROUP BY ALL),
+        f AS (SELECT category, token, count(*) AS df, row_number() OVER (PARTITION BY category ORDER BY sum(tf) DESC, token) AS r FROM c GROUP BY category, token QUALIFY r <= 1000),
+        x AS (SELECT c.category, listing_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (category, token) JOIN n USING (category)),
+        s AS (SELECT category, listing_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY category, listing_id)), 6) AS score FROM x)
+        SELECT *, CAST(row_number() OVER (PARTITION BY category, listing_id ORDER BY score DESC, token) AS INT) AS place FROM s QUALIFY place <= 5"""
+
+
 ORACLES = {
     "product_clean": f"WITH {_P}, {_CLEAN} SELECT listing_id, asin, title, brand, category, CAST(len(attributes) AS BIGINT) AS attributes FROM c",
     "product_options": f"WITH {_P}, {_OPTIONS} SELECT * FROM ov",
     "option_values": f"WITH {_P}, {_OPTIONS} SELECT name, value, count(DISTINCT listing_id) AS listings FROM ov GROUP BY ALL",
     "first_listing": f"WITH {_P} SELECT asin, arg_min(listing_id, ROW(listed_at, listing_id)) AS listing_id FROM p GROUP BY ALL",
-    "catalog_fingerprint": f"WITH {_P}, e AS (SELECT listing_id // 1000 AS part, listing_id AS k, sha256(coalesce(title, '')) AS d FROM p), g AS (SELECT part, sha256(string_agg(d, '' ORDER BY k)) AS d, count(*) AS n FROM e GROUP BY part) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY part)) AS sha256 FROM g",
+    "catalog_fingerprint": f"WITH {_P}, e AS (SELECT listing_id // 1000 AS part, listing_id AS k, sha256(coalesce(title, '')) AS d FROM p), g AS (SELECT part, sha256(string_agg(d, '' ORDER BY k)) AS d, count(*) AS n FROM e GROUP BY part), b AS (SELECT part // 1000 AS block, sha256(string_agg(d, '' ORDER BY part)) AS d, sum(n) AS n FROM g GROUP BY block) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, '' ORDER BY block)) AS sha256 FROM b",
     "attribute_shares": f"WITH {_P}, {_CLEAN}, x AS (SELECT DISTINCT category, listing_id, unnest(attributes) AS attribute FROM c), n AS (SELECT category, count(*) AS total FROM c GROUP BY ALL) SELECT x.category, attribute, count(*) AS listings, round(count(*) / any_value(total), 6) AS share FROM x JOIN n USING (category) GROUP BY ALL",
-    "title_terms": f"""WITH p AS (SELECT DISTINCT listing_id, shop_id, title FROM products), t AS (SELECT shop_id, listing_id, unnest({sql_tokens('title')}) AS token FROM p), n AS (SELECT shop_id, count(*) AS n FROM p GROUP BY ALL),
-        f AS (SELECT shop_id, token, count(*) AS df, row_number() OVER (PARTITION BY shop_id ORDER BY count(*) DESC, token) AS r FROM t GROUP BY shop_id, token QUALIFY r <= 1000),
-        w AS (SELECT t.shop_id, listing_id, token, ln((1 + n) / (1 + df)) + 1 AS w FROM t JOIN f USING (shop_id, token) JOIN n USING (shop_id)),
-        s AS (SELECT shop_id, listing_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY shop_id, listing_id)), 6) AS score FROM w)
-        SELECT *, CAST(row_number() OVER (PARTITION BY shop_id, listing_id ORDER BY score DESC, token) AS INT) AS place FROM s QUALIFY place <= 5""",
+    "title_terms": _terms_sql(1),
+    "title_bigrams": _terms_sql(2),
     "shop_reviews": "SELECT s.shop_id, platform, (SELECT count(DISTINCT listing_id) FROM products p WHERE p.shop_id = s.shop_id) AS listings, (SELECT count(text) FROM documents d WHERE d.shop_id = s.shop_id) AS documents FROM shops s",
     "category_overlap": f"WITH {_P}, n AS (SELECT listing_id, category, lead(category) OVER (PARTITION BY shop_id ORDER BY listing_id) AS f FROM p) SELECT listing_id, CAST(len(list_distinct(list_intersect(list_filter(list_transform(regexp_split_to_array(category, '[›>/]+'), lambda x: trim(x, ' ')), lambda x: x <> ''), list_filter(list_transform(regexp_split_to_array(f, '[›>/]+'), lambda x: trim(x, ' ')), lambda x: x <> '')))) AS BIGINT) AS shared FROM n WHERE category IS NOT NULL AND f IS NOT NULL",
     "title_numbers": rf"WITH {_P}, n AS (SELECT listing_id, regexp_extract_all(title, '[0-9]+(?:\.[0-9]+)?') AS n FROM p) SELECT listing_id, CAST(generate_subscripts(n, 1) - 1 AS INT) AS place, unnest(n) AS number FROM n",
     "document_ids": "SELECT DISTINCT doc_id, asin FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS asin FROM documents) WHERE length(asin) BETWEEN 10 AND 20",
     "instruction_dedup": f"SELECT sha256({_LETTERS}) AS mark, min(task_id) AS task_id, count(*) AS copies FROM (SELECT DISTINCT task_id, instruction FROM tasks WHERE instruction IS NOT NULL) GROUP BY ALL",
-    "unseen_train": f"WITH t AS (SELECT DISTINCT task_id, tag, {_LETTERS} AS m FROM tasks) SELECT task_id FROM t WHERE tag = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE tag = 'eval' AND m IS NOT NULL))",
-    "unseen_train_folded": f"WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, {_LETTERS} AS m FROM tasks) SELECT DISTINCT task_id FROM t WHERE split = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE split IN {HELD_OUT} AND m IS NOT NULL))",
+    "unseen_train": f"WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, {_LETTERS} AS m FROM tasks) SELECT DISTINCT task_id FROM t WHERE split = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE split IN {HELD_OUT} AND m IS NOT NULL))",
+    "eligible_audit": f"""WITH t AS (SELECT DISTINCT task_id, tag, {_TAG} AS split, instruction, {_LETTERS} AS m FROM tasks), h AS (SELECT DISTINCT m FROM t WHERE split IN {HELD_OUT} AND m IS NOT NULL)
+        SELECT CASE WHEN split IS DISTINCT FROM 'train' THEN 'wrong tag' WHEN h.m IS NOT NULL THEN 'held-out instruction' ELSE 'eligible' END AS state, count(*) AS tasks FROM t LEFT JOIN h USING (m) WHERE task_id >= 1000 GROUP BY ALL""",
+    "remaining_tasks": _ALLOCATED + f""", r AS (SELECT task_id, domain, option_bucket, row_number() OVER (PARTITION BY domain, option_bucket ORDER BY {_ORDER(42)}, task_id) AS place FROM s), c AS (SELECT task_id FROM r JOIN a USING (domain, option_bucket) WHERE place <= allocated),
+        t AS (SELECT DISTINCT task_id, {_TAG} AS split, {_LETTERS} AS m FROM tasks), e AS (SELECT DISTINCT task_id, m FROM t WHERE split = 'train' AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE split IN {HELD_OUT} AND m IS NOT NULL)))
+        SELECT task_id FROM e WHERE task_id NOT IN (SELECT task_id FROM c) AND (m IS NULL OR m NOT IN (SELECT m FROM t WHERE m IS NOT NULL AND task_id IN (SELECT task_id FROM c)))""",
+    "label_counts": f"WITH {_S}" + " UNION ALL ".join(f" SELECT '{c}' AS label, {c} AS value, count(*) AS n FROM s GROUP BY {c}" for c in LABELS),
+    "goal_rows": f"WITH {_GOALS} SELECT task_id, asin, category, name, instruction_text, to_json(attributes) AS attributes FROM g",
+    "training_row_digests": f"WITH {_GOALS} SELECT task_id, sha256('Instruction: ' || instruction_text || chr(10) || chr(10) || '搜索功能是否可用: True' || chr(10) || chr(10) || '可点击的按钮: []') AS prompt, asin, sha256(name) AS name FROM g",
     "largest_remainder": _ALLOCATED + " SELECT * FROM a",
     "stratified_sample": _ALLOCATED + f", r AS (SELECT task_id, domain, option_bucket, row_number() OVER (PARTITION BY domain, option_bucket ORDER BY {_ORDER(42)}, task_id) AS place FROM s) SELECT task_id, domain, option_bucket FROM r JOIN a USING (domain, option_bucket) WHERE place <= allocated",
     "proportional_quotas": f"WITH {_S}, c AS (SELECT difficulty, count(*) AS n FROM s GROUP BY ALL), q AS (SELECT difficulty, 50 * n / sum(n) OVER () AS sh FROM c), f AS (SELECT *, floor(sh) AS fl, 50 - sum(floor(sh)) OVER () AS missing, row_number() OVER (ORDER BY sh - floor(sh) DESC, difficulty DESC) AS k FROM q) SELECT difficulty, CAST(fl + CASE WHEN k <= missing THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f",
@@ -241,18 +311,16 @@ ORACLES = {
     "hash_split": f"SELECT DISTINCT task_id, {_PART} AS part FROM tasks",
     "seeded_shuffle": f"SELECT task_id FROM (SELECT DISTINCT task_id FROM tasks) ORDER BY {_ORDER(7)}, task_id LIMIT 200",
     "cumulative_weights": f"WITH {_S}, c AS (SELECT domain, count(*) AS weight FROM s GROUP BY ALL) SELECT domain, weight, CAST(sum(weight) OVER (ORDER BY domain) AS BIGINT) AS upto FROM c",
-    "dedup_refill": f"""WITH t AS (SELECT DISTINCT task_id, tag, source, domain, {_LETTERS} AS m FROM tasks WHERE domain IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY task_id) AS again FROM t WHERE tag = 'train' AND source <> 'backfill'),
-        b AS (SELECT DISTINCT ON (m) * FROM t WHERE source = 'backfill' AND tag <> 'train' ORDER BY m, task_id), f AS (SELECT * FROM b WHERE m NOT IN (SELECT m FROM a)),
-        x AS (SELECT domain, task_id AS removed, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM a WHERE again > 1), y AS (SELECT domain, task_id AS added, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM f)
-        SELECT removed, added FROM x LEFT JOIN y USING (domain, n)""",
-    "dedup_refill_folded": f"""WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, source, domain, {_LETTERS} AS m FROM tasks WHERE domain IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY task_id) AS again FROM t WHERE split = 'train' AND source <> 'backfill'),
-        b AS (SELECT DISTINCT ON (m) * FROM t WHERE source = 'backfill' AND split <> 'train' ORDER BY m, task_id), f AS (SELECT * FROM b WHERE m NOT IN (SELECT m FROM a WHERE m IS NOT NULL)),
-        x AS (SELECT domain, task_id AS removed, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM a WHERE again > 1), y AS (SELECT domain, task_id AS added, row_number() OVER (PARTITION BY domain ORDER BY task_id) AS n FROM f)
-        SELECT removed, added FROM x LEFT JOIN y USING (domain, n)""",
-    "pilot_choice": f"WITH {_S}, l AS (SELECT domain, count(*) AS n FROM s GROUP BY ALL ORDER BY n DESC, domain LIMIT 3) SELECT domain, arg_min(task_id, ROW({_ORDER(3)}, task_id)) AS task_id FROM s JOIN l USING (domain) GROUP BY ALL",
+    "dedup_refill": f"""WITH t AS (SELECT DISTINCT task_id, {_TAG} AS split, source, difficulty, domain, option_bucket, {_LETTERS} AS m FROM tasks WHERE difficulty IS NOT NULL AND domain IS NOT NULL AND option_bucket IS NOT NULL),
+        w AS (SELECT * FROM t WHERE split = 'train' AND source <> 'backfill'), a AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY task_id) AS again FROM w WHERE m IS NOT NULL),
+        b AS (SELECT DISTINCT ON (m) * FROM t WHERE source = 'backfill' AND split <> 'train' ORDER BY m, task_id), f AS (SELECT * FROM b WHERE m IS NULL OR m NOT IN (SELECT m FROM w WHERE m IS NOT NULL)),
+        x AS (SELECT difficulty, domain, option_bucket, task_id AS removed, row_number() OVER (PARTITION BY difficulty, domain, option_bucket ORDER BY task_id) AS n FROM a WHERE again > 1), y AS (SELECT difficulty, domain, option_bucket, task_id AS added, row_number() OVER (PARTITION BY difficulty, domain, option_bucket ORDER BY task_id) AS n FROM f)
+        SELECT removed, added FROM x LEFT JOIN y USING (difficulty, domain, option_bucket, n)""",
+    "pilot_choice": f"""WITH {_S}, o AS (SELECT *, {_ORDER(3)} AS o FROM s), l AS (SELECT domain FROM s GROUP BY domain ORDER BY count(*) DESC, domain DESC LIMIT 1), b AS (SELECT DISTINCT ON (domain) task_id FROM o ORDER BY domain, o, task_id)
+        SELECT task_id, domain FROM o ORDER BY CASE WHEN task_id IN (SELECT task_id FROM b) THEN 0 WHEN domain = (SELECT domain FROM l) AND difficulty = 'hard' AND option_bucket = 'multi' THEN 1 ELSE 2 END, o, task_id LIMIT 60""",
     "domain_difficulty_counts": f"WITH {_S} SELECT domain, difficulty, option_bucket, count(*) AS n FROM s GROUP BY ALL",
     "manifest_union": "SELECT doc_id, arg_max(verdict, ROW(annotator, verdict)) AS verdict FROM doc_labels WHERE verdict IS NOT NULL GROUP BY ALL",
     "manifest_errors": f"SELECT 'unknown document' AS error, count(DISTINCT doc_id) AS n FROM doc_labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'repeated instruction', count(*) FROM (SELECT {_LETTERS} AS m FROM (SELECT DISTINCT task_id, instruction FROM tasks WHERE instruction IS NOT NULL) GROUP BY m HAVING count(*) > 1)",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(props->>'k' AS BIGINT) AS k FROM events) GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (product_clean, product_options, option_values, first_listing, catalog_fingerprint, attribute_shares, title_terms, shop_reviews, category_overlap, title_numbers, document_ids, instruction_dedup, instruction_folded, unseen_train, unseen_train_folded, largest_remainder, stratified_sample, proportional_quotas, disjoint_splits, hash_split, seeded_shuffle, weighted_draw, cumulative_weights, dedup_refill, dedup_refill_folded, pilot_choice, domain_difficulty_counts, manifest_union, manifest_errors, json_props, document_markup)}
+QUERIES = {f.__name__: f for f in (product_clean, product_options, option_values, first_listing, catalog_fingerprint, attribute_shares, title_terms, title_bigrams, shop_reviews, category_overlap, title_numbers, document_ids, instruction_dedup, instruction_folded, unseen_train, eligible_audit, remaining_tasks, quota_splits, label_counts, goal_rows, training_rows, training_row_digests, purchase_summaries, largest_remainder, stratified_sample, proportional_quotas, disjoint_splits, hash_split, seeded_shuffle, weighted_draw, cumulative_weights, dedup_refill, pilot_choice, domain_difficulty_counts, manifest_union, manifest_errors, json_props, document_markup)}
