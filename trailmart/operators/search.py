@@ -1,9 +1,11 @@
 """Multi-field BM25 search as relational plans.
 
-An index is three tables: postings (doc, token, field weight summed), document lengths and token
-statistics. A search joins the tokens of its queries with the postings; scores are sums per query
-and document; the best of each query are kept by a ranked window, which Spark limits before its
-shuffle. Nothing is sent to the tasks whose size is not known: Spark decides on broadcasts by size.
+An index is three tables: impacts (token, doc, what the token adds to the document's score), token statistics with the
+greatest impact of each token, and totals. What a token adds does not depend on the query, so it is computed once, when the index is built.
+
+A search joins the tokens of its queries with the impacts; scores are sums per query and document, partly added up before
+the shuffle, and the best of each query are kept by a ranked window, which Spark limits before its shuffle. Nothing is sent to the
+tasks whose size is not known: Spark decides on broadcasts by size, and splits tokens with very many documents in its joins.
 """
 
 from __future__ import annotations
@@ -11,25 +13,29 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
-from ..sources import spread
+from ..sources import files, spread
 from ..sources.tables import cut
 
 # Weights of the fields, and parameters of BM25.
 FIELD_WEIGHTS = {"title": 3.0, "brand": 2.0, "category": 2.0, "model": 2.5, "attributes": 1.5, "options": 1.2, "bullets": 0.8}
 K1, B = 1.2, 0.75
+# Hits of a search, and of a page.
+DEPTH, PAGE = 150, 20
+#: The same weights given to the field after each, as an index does that counts its key as a field.
+SHIFTED_WEIGHTS = {"title": 2.0, "brand": 2.0, "category": 2.5, "model": 1.5, "attributes": 1.2, "options": 0.8, "bullets": 1.0}
 #: Scores are ranked after rounding, so that equal scores tie in every engine; the smaller key goes first.
 DIGITS = 6
-DEPTH, PAGE = 150, 20
+#: Version of the stored form.
+FORMAT = 2
 
 
 @dataclass
 class Index:
-    postings: DataFrame
-    lengths: DataFrame
+    impacts: DataFrame
     tokens: DataFrame
     totals: DataFrame
 
@@ -40,36 +46,55 @@ def check_weights(weights: Mapping[str, float]) -> dict[str, float]:
     return dict(weights)
 
 
+def check_fields(weights: Mapping[str, float], columns: list[str]) -> dict[str, float]:
+    """Weights that name columns of the documents only."""
+    unknown = [f for f in weights if f not in columns]
+    if unknown:
+        raise ValueError(f"weights for fields that are not there: {unknown}")
+    return check_weights(weights)
+
+
 def build_index(docs: DataFrame, key: str, weights: Mapping[str, float], fold=F.lower) -> Index:
     """An index of the text columns named in ``weights``. Tokens count once per field, repeated rows once.
 
     Texts are split into tokens before repeated rows are dropped, in as many tasks as the scan has, and
-    stored in the shared folder: the tables of the index, and all searches in it, start from there.
+    stored in the shared folder, from where all tables of the index start. A search computes the impacts of its tokens only;
+    an index for many searches is saved and opened.
     """
-    weights = check_weights(weights)
+    weights = check_fields(weights, docs.columns)
 
     def entries_of(column: str, weight: float):
         return F.transform(search_tokens(column, fold), lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
 
     entries = F.flatten(F.array(*(entries_of(c, w) for c, w in weights.items())))
     tokens = cut(spread(docs).select(F.col(key).alias("doc"), entries.alias("entries")).distinct())
-    postings = tokens.select("doc", F.inline("entries")).groupBy("doc", "token").agg(F.sum("w").alias("tf"))
-    lengths = tokens.select("doc", F.size("entries").alias("length"))
-    totals = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    return Index(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), totals)
+    exploded = tokens.select("doc", F.size("entries").alias("length"), F.inline("entries"))
+    postings = exploded.groupBy("doc", "token").agg(F.sum("w").alias("tf"), F.first("length").alias("length"))
+    totals = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("entries")).alias("mean_length"))
+    df = exploded.select("doc", "token").distinct().groupBy("token").agg(F.count("*").alias("df")) if len(weights) > 1 else exploded.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    impacts = postings.join(df, "token").crossJoin(F.broadcast(totals)).select("token", "doc", part.alias("part"))  # totals is one row
+    return Index(impacts, impacts.groupBy("token").agg(F.count("*").alias("df"), F.max("part").alias("most")), totals)
+
+
+def save_index(index: Index, folder: str, about: Mapping[str, object]) -> dict:
+    """Store an index as a new version of a folder, with what it was made of (fields, fingerprint of the documents)."""
+    return files.write_versioned({"impacts": index.impacts, "tokens": index.tokens, "totals": index.totals}, folder, dict(about) | {"format": FORMAT})
+
+
+def open_index(spark: SparkSession, folder: str, about: Mapping[str, object]) -> Index | None:
+    """The newest stored index if it is of this format and was made of the same; else None, and it is to be built anew."""
+    tables = files.open_versioned(spark, folder, dict(about) | {"format": FORMAT})
+    return None if tables is None else Index(tables["impacts"], tables["tokens"], tables["totals"])
 
 
 def search(index: Index, queries: DataFrame, key: str, text: str, depth: int = DEPTH, fold=F.lower) -> DataFrame:
     """(query, doc, score, rank) of the best ``depth`` documents that share a token with each query."""
-    # what a token adds to the score of a document does not depend on the query: it is computed once per posting
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     asked = queries.select(F.col(key).alias("query"), F.explode(search_tokens(text, fold)).alias("token"))
-    wanted = index.tokens.join(asked, "token", "left_semi")
-    placed = index.postings.join(wanted, "token").join(index.lengths, "doc").crossJoin(F.broadcast(index.totals))  # totals is one row
-    impacts = placed.select("token", "doc", part.alias("part"))
-    scored = asked.join(impacts, "token").groupBy("query", "doc").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    wanted = index.impacts.join(asked.select("token").distinct(), "token", "left_semi")
+    scored = asked.join(wanted, "token").groupBy("query", "doc").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= depth)
 
@@ -78,6 +103,14 @@ def page_of(hits: DataFrame, page: int, size: int = PAGE) -> DataFrame:
     return hits.filter(F.col("rank").between((page - 1) * size + 1, page * size))
 
 
+def shuffled_first(hits: DataFrame, first: int, seed: int = 42) -> DataFrame:
+    """The first hits of each query in drawn order, the others where they are."""
+    near = hits.filter(F.col("rank") <= first)
+    drawn = F.md5(F.concat_ws("|", F.col("query").cast("string"), F.col("doc").cast("string"), F.lit(str(seed))))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(drawn, "doc"))
+    return near.withColumn("rank", place).unionByName(hits.filter(F.col("rank") > first))
+
+
 def swapped_pages(hits: DataFrame, size: int = PAGE) -> DataFrame:
     """The first page and the second trade places, for queries with more than two pages of hits."""
     many = F.max("rank").over(Window.partitionBy("query")) > 2 * size

@@ -6,10 +6,12 @@ All paths may be local or in any file system that Spark reads. Only manifests, a
 from __future__ import annotations
 
 import json
+import math
 import os
 import tempfile
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,34 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return parsed.filter(~blank & ~bad).select("row.*").drop(BROKEN), parsed.filter(~blank & bad).select("value")
 
 
+def read_required_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of which each must be an object, and one at least must be there; anything else is an error."""
+    good, broken = read_lines(spark, path, schema)
+    if not broken.isEmpty() or good.isEmpty():
+        raise ValueError(f"{path} is empty or has lines that are no JSON objects")
+    return good
+
+
+def by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key, for lookups; a join with it leaves out keys that are not there."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*(c for c in rows.columns if c != key)), order).alias("_row")).select(key, "_row.*")
+
+
+def read_config(path: str, known: Mapping[str, object]) -> dict:
+    """A JSON settings file over its defaults; unknown names are an error."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if not isinstance(given, dict) or (unknown := sorted(set(given) - set(known))):
+        raise ValueError(f"settings must be an object of known names: {unknown if isinstance(given, dict) else given}")
+    return dict(known) | given
+
+
+def quota_errors(sizes: Mapping[str, int], quotas: Mapping[str, Mapping[str, int]], whole: Mapping[str, int]) -> list[str]:
+    """Where sizes of splits differ from their quotas, or all quotas of a label from what there is of it."""
+    out = [f"{k}: {n} is not {sum(quotas.get(k, {}).values())}" for k, n in sizes.items() if n != sum(quotas.get(k, {}).values())]
+    return out + [f"{v}: {n} is not {sum(q.get(v, 0) for q in quotas.values())}" for v, n in whole.items() if n != sum(q.get(v, 0) for q in quotas.values())]
+
+
 def read_folder(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """One JSON object per file, top level only: rows with ``file``, and the names of the unreadable files."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", False).option("pathGlobFilter", "*.json").text(folder)
@@ -57,11 +87,14 @@ def finished_ids(folder_rows: DataFrame) -> DataFrame:
     return folder_rows.select(F.expr(r"try_cast(regexp_extract(file, '^([0-9]+)\\.json$', 1) AS bigint)").alias("task_id")).filter("task_id IS NOT NULL").distinct()
 
 
-def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer join of two folders' rows with ``state``: both, left only or right only."""
-    a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
-    state = F.when(F.col("_l").isNull(), "right only").when(F.col("_r").isNull(), "left only").otherwise("both")
-    return a.join(b, key, "full_outer").withColumn("state", state).drop("_l", "_r")
+def paired(left: DataFrame, right: DataFrame, key: str, agree: tuple[str, ...] = ()) -> DataFrame:
+    """Full outer join of two folders' rows with ``state``: both, left only, right only, or differs where a column of ``agree`` does."""
+    a, b = left.withColumn("_l", F.lit(True)), right.select(key, *(F.col(c).alias(f"_r_{c}") if c in agree else F.col(c) for c in right.columns if c != key), F.lit(True).alias("_r"))
+    differs = F.lit(False)
+    for c in agree:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    state = F.when(F.col("_l").isNull(), "right only").when(F.col("_r").isNull(), "left only").when(differs, "differs").otherwise("both")
+    return a.join(b, key, "full_outer").withColumn("state", state).drop("_l", "_r", *(f"_r_{c}" for c in agree))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -94,11 +127,58 @@ def row_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(each.cast("decimal(38,0)")).cast("string"), F.lit("0")).alias("digest"))
 
 
+def write_metrics(path: str, metrics: Mapping[str, object]) -> None:
+    """Numbers of a run as one JSON file; not a number and infinite become null."""
+    plain = {k: None if isinstance(v, float) and not math.isfinite(v) else v for k, v in metrics.items()}
+    write_text(path, json.dumps(plain, ensure_ascii=False, indent=2, sort_keys=True))
+
+
+def write_once(path: str, value: object) -> None:
+    """A JSON file that stays as it was first written; another value for it is an error."""
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if json.load(f) != value:
+                raise ValueError(f"{path} holds something else")
+        return
+    write_text(path, json.dumps(value, ensure_ascii=False))
+
+
+def write_report(path: str, title: str, facts: Mapping[str, object], tables: Mapping[str, DataFrame], most: int = 1000) -> None:
+    """A Markdown page of facts and small tables; a table of more than ``most`` rows is an error."""
+    lines = [f"# {title}", "", *(f"- {k}: {v}" for k, v in facts.items())]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} is too long for a report")
+        lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)]
+    write_text(path, "\n".join([*lines, ""]))
+
+
+def write_by_key(df: DataFrame, folder: str, key: str) -> None:
+    """Rows as JSON lines in a folder per key (a session, a run), as many tasks as Spark makes; existing folders are kept."""
+    df.write.mode("append").partitionBy(key).option("ignoreNullFields", False).json(folder)
+
+
+def write_pairs(trajectories: DataFrame, diagnostics: DataFrame, folder: str, run: str) -> None:
+    """Trajectories and diagnostics of a run side by side; a run is written once."""
+    for name, df in (("trajectories", trajectories), ("diagnostics", diagnostics)):
+        write_lines(df, f"{folder}/{name}/run={run}")
+
+
+def write_training_set(splits: Mapping[str, DataFrame], excluded: Mapping[str, list], folder: str, about: Mapping[str, object]) -> dict:
+    """Splits as Parquet in a new version of a folder; the manifest has their digests and what was left out of each."""
+    return write_versioned(splits, folder, dict(about) | {"excluded": {k: sorted(v) for k, v in excluded.items()}})
+
+
 def write_versioned(tables: Mapping[str, DataFrame], folder: str, about: Mapping[str, object]) -> dict:
-    """Tables as Parquet in a new version of the folder; its manifest is written last and makes it the current one."""
+    """Tables as Parquet in a new version of the folder; its manifest is written last and makes it the current one.
+
+    A version belongs to the writer that made its folder, so of two at once one goes on to the next number.
+    """
     spark = next(iter(tables.values())).sparkSession
-    versions = [int(v) for v in _names(spark, folder) if v.isdigit()]
-    version = max(versions, default=0) + 1
+    version = max((int(v) for v in _names(spark, folder) if v.isdigit()), default=0) + 1
+    while not _claim(spark, f"{folder}/{version}"):
+        version += 1
     manifest = dict(about) | {"version": version, "tables": {}}
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
@@ -108,6 +188,16 @@ def write_versioned(tables: Mapping[str, DataFrame], folder: str, about: Mapping
     return manifest
 
 
+def _claim(spark: SparkSession, folder: str) -> bool:
+    """Make the mark of a new version; False if another writer has made it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_writer")
+    try:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False).close()
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def open_versioned(spark: SparkSession, folder: str, expected: Mapping[str, object]) -> dict[str, DataFrame] | None:
     """The tables of the newest complete version whose manifest says what is expected, else None: build anew."""
     for version in sorted((int(v) for v in _names(spark, folder) if v.isdigit()), reverse=True):

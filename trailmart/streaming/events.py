@@ -70,13 +70,23 @@ def repeats_stream(events: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into Parquet files of the shared folder, and read these.
 
-    Aggregates close with the watermark in 'append' mode; 'complete' keeps the whole result in a table of the session.
+    Aggregates close with the watermark in 'append' mode; in 'complete' mode each batch is a whole result, and the last one counts.
     """
     spark = stream.sparkSession
     place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "complete":
-        name = "stream_" + uuid.uuid4().hex
-        stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name)
+        done: list[int] = []
+
+        def keep(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{place}/rows/{batch}")
+            done.append(batch)
+
+        stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{place}/rows/{max(done)}") if done else spark.createDataFrame([], stream.schema)
     stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+def log_stream(events: DataFrame, folder: str, state: str) -> None:
+    """Write a stream of events as JSON lines in a folder per user, once each, over what is there now."""
+    events.writeStream.format("json").partitionBy("user_id").option("path", folder).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
