@@ -15,7 +15,7 @@
 
 A batch is one array of characters: cutting, hashing and scoring are array operations over all its texts.
 Batches are bounded by bytes, and nothing of a text is kept beyond its batch. Patterns are counted over all
-documents; only the classifier sees a sample, which a hash draws.
+documents, and in the same pass the sample is drawn by hashes; only the classifier sees a sample.
 Null and blank texts score 0. Repeated rows are scored each on their own. Very long texts are scored as a whole.
 """
 
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import spread, table
+from ..sources.tables import cut
 from .abuse_words import BIT, CLASSES, INSULTS_EN, INSULTS_ZH, LEET, PINYIN, POSITIVE, SEXUAL_EN, SEXUAL_ZH, SIGNS, VOTERS, WRITINGS, votes_of
 from .bpe import chunks
 from .lookalikes import CYRILLIC, GREEK, INVISIBLE_PATTERN
@@ -44,7 +45,8 @@ SAMPLE, DIMENSIONS, MOST_PATTERNS, FOUND_FROM = 30_000, 1 << 17, 50_000, 0.5
 TOTAL, BATCH_BYTES = 60_000, 1_000_000
 
 _HAN = "一-鿿"
-_FOREIGN = re.compile("[Ͱ-ӿԀ-ԯ]")
+#: Texts without these characters need neither be freed of invisible ones nor of letters that look like Latin ones.
+_ODD = re.compile(f"{INVISIBLE_PATTERN.pattern[:-1]}Ͱ-ӿԀ-ԯ𝚨-𝟋]")
 _TWINS = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
 _MARKUP = re.compile(r"</?[a-z][^<>]*>|&[a-z]+;|&#\d+;")
 #: Spaces between longer runs of characters part sentences; signs and spaces between single ones are disguise or habit.
@@ -134,9 +136,10 @@ def plain(text: str | None) -> str:
     """The plain form of a whole text."""
     if not text:
         return ""
-    s = unicodedata.normalize("NFKC", INVISIBLE_PATTERN.sub("", text)).casefold()
-    if _FOREIGN.search(s):
-        s = s.translate(_TWINS)
+    if _ODD.search(text):
+        s = unicodedata.normalize("NFKC", INVISIBLE_PATTERN.sub("", text)).casefold().translate(_TWINS)
+    else:
+        s = unicodedata.normalize("NFKC", text).casefold()
     if "<" in s or "&" in s:
         s = _MARKUP.sub(" ", s)
     s = _GAPS.sub("", _WIDE_GAP.sub("\n", s))
@@ -346,67 +349,104 @@ def train(rows: list[tuple[np.ndarray, int, float, float]], steps: int = 200, ra
     return w.astype(np.float32), float(b)
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
-    for batch in batches:
-        for _, texts in chunks(batch, 1, BATCH_BYTES):
-            bits, n = np.unique(windows(texts).votes(), return_counts=True)
-            count.update(dict(zip(bits.tolist(), n.tolist(), strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["bits", "n"])
+class Sample:
+    """The windows of a task with the smallest hashes, of those with and without an abusive vote, at most ``most`` of each kind.
 
+    All windows of the task whose hash is below ``below`` are in it.
+    """
 
-def pattern_counts(texts: DataFrame) -> dict[int, int]:
-    """How many windows of all documents have each pattern of votes; patterns are few, and their number is checked."""
-    counted = texts.mapInArrow(_patterns, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n"))
-    rows = counted.limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError("too many vote patterns for the label model")
-    return {r.bits: r.n for r in rows}
+    def __init__(self, most: dict[bool, int]):
+        self.most, self.below = most, {True: 1.0, False: 1.0}
+        self.rows: dict[bool, list[tuple[float, int, np.ndarray]]] = {True: [], False: []}
 
+    def add(self, own: Windows, bits: np.ndarray, drawn: np.ndarray) -> None:
+        hot = bits & POSITIVE > 0
+        starts = np.searchsorted(own.clause, np.arange(len(own.mask) + 1))
+        buckets = own.bucket.astype(np.int32)
+        for kind in (True, False):
+            rows, most = self.rows[kind], self.most[kind]
+            new = np.flatnonzero((hot == kind) & (drawn < self.below[kind]))
+            whole = np.concatenate([np.array([r[0] for r in rows]), drawn[new]])
+            if len(whole) > most:  # features are only taken of windows that stay
+                self.below[kind] = float(np.partition(whole, most)[most])
+                rows[:] = [r for r in rows if r[0] < self.below[kind]]
+                new = new[drawn[new] < self.below[kind]]
+            for i, d, v, a, b in zip(new.tolist(), drawn[new].tolist(), bits[new].tolist(), own.first[new].tolist(), own.last[new].tolist(), strict=True):
+                grams = buckets[starts[a] : starts[a + 1]]
+                rows.append((d, v, grams if a == b else np.concatenate([grams, buckets[starts[b] : starts[b + 1]]])))
 
-def sample_windows(texts: DataFrame, patterns: dict[int, int], sample: int) -> list[tuple[np.ndarray, int, float]]:
-    """(features, votes, weight) of the windows whose hash falls in a share that gives about ``sample`` with an abusive vote, and twice as many without.
 
-    Windows of equal features and votes are one row; its weight is their number over the share, which
-    estimates that of all such windows. More distinct ones than the shares can give are an error, never cut.
+READ = "kind string, bits long, n long, drawn double, grams array<int>"
+
+
+def read_windows(texts: DataFrame, sample: int) -> DataFrame:
+    """One pass over the texts: rows ``pattern`` (bits, n), ``window`` (bits, drawn, grams) and ``below`` (bits, drawn) of each task.
+
+    A task keeps twice its share of the sample. The least ``below`` of all tasks is a share of the hashes of
+    which every window of the corpus is there, whatever task has more than others.
     """
-    hot = sum(n for b, n in patterns.items() if b & POSITIVE)
-    cold = sum(patterns.values()) - hot
-    share = {True: min(1.0, sample * 0.9 / max(1, hot)), False: min(1.0, 2 * sample * 0.9 / max(1, cold))}
+    tasks = max(1, texts.rdd.getNumPartitions())
+    most = {True: 500 + 2 * sample // tasks, False: 1000 + 4 * sample // tasks}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, kept = Counter(), Sample(most)
         for batch in batches:
             for part, rows in chunks(batch, 1, BATCH_BYTES):
-                w = windows(rows)
-                bits = w.votes()
-                own = np.zeros(len(w.mask), np.uint64)
-                np.add.at(own, w.clause, w.hash)
+                own = windows(rows)
+                bits = own.votes()
+                values, n = np.unique(bits, return_counts=True)
+                count.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+                content = np.zeros(len(own.mask), np.uint64)
+                np.add.at(content, own.clause, own.hash)
                 keys = np.array([(k or 0) & (2**63 - 1) for k in part.column(0).to_pylist()], np.uint64)
-                # place and content of a window are hashed with the row's key, as rows may share a key
-                drawn = _mix(_mix(own[w.first] * _RANDOM[0] + own[w.last] * _RANDOM[1]) + keys[w.text] * _RANDOM[2])
-                limit = np.where(bits & POSITIVE > 0, share[True], share[False])
-                picked = np.flatnonzero(drawn / 2.0**64 < limit)
-                low, high = np.searchsorted(w.clause, np.arange(len(w.mask))), np.searchsorted(w.clause, np.arange(len(w.mask)), "right")
-                grams = []
-                for i in picked:
-                    a, b = w.first[i], w.last[i]
-                    grams.append(np.sort(np.concatenate([w.bucket[low[a] : high[a]], w.bucket[low[b] : high[b]]]) if b > a else w.bucket[low[a] : high[a]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), pa.array(bits[picked], pa.int64())], names=["grams", "bits"])
-
-    drawn = texts.mapInArrow(run, "grams array<int>, bits long").groupBy("grams", "bits").agg(F.count("*").alias("n"))
-    rows = drawn.limit(4 * sample + 1).collect()
-    if len(rows) > 4 * sample:
-        raise ValueError("more windows drawn than their shares can give")
-    return [(np.array(g, np.int64), b, n / share[bool(b & POSITIVE)]) for g, b, n in sorted(map(tuple, rows))]
+                # the content of a window is hashed with the row's key, as rows may share a key
+                drawn = _mix(_mix(content[own.first] * _RANDOM[0] + content[own.last] * _RANDOM[1]) + keys[own.text] * _RANDOM[2]) / 2.0**64
+                kept.add(own, bits, drawn)
+        out = [("pattern", b, n, None, None) for b, n in count.items()]
+        for kind in (True, False):
+            out.append(("below", POSITIVE if kind else 0, None, kept.below[kind], None))
+            out += [("window", b, None, d, g) for d, b, g in kept.rows[kind]]
+        columns = zip(*out, strict=True)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
+
+    return cut(texts.mapInArrow(run, READ))
+
+
+def pattern_counts(read: DataFrame) -> dict[int, int]:
+    """How many windows of all documents have each pattern of votes; patterns are few, and their number is checked."""
+    rows = read.filter("kind = 'pattern'").groupBy("bits").agg(F.sum("n").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError("too many vote patterns for the label model")
+    return {r.bits: r.n for r in rows}
+
+
+def sample_windows(read: DataFrame, sample: int) -> list[tuple[np.ndarray, int, float]]:
+    """(features, votes, weight) of ``sample`` windows with an abusive vote, and twice as many without, or of all if there are fewer.
+
+    Windows of equal features and votes are one row; its weight is their number over the share of the hashes they
+    are from, which estimates that of all such windows.
+    """
+    below = {r.hot: r.below for r in read.filter("kind = 'below'").groupBy((F.col("bits") != 0).alias("hot")).agg(F.min("drawn").alias("below")).collect()}
+    rows = read.filter("kind = 'window'").withColumn("hot", F.col("bits").bitwiseAND(POSITIVE) != 0)
+    out: list[tuple[np.ndarray, int, float]] = []
+    for hot, most in ((True, sample), (False, 2 * sample)):
+        least = below.get(hot, 1.0)
+        found = rows.filter(F.col("hot") == F.lit(hot)).filter((F.col("drawn") < least) | F.lit(least >= 1.0)).select("drawn", "bits", "grams").orderBy("drawn").limit(most + 1).collect()
+        share = found[most].drawn if len(found) > most else least
+        same = Counter((r.bits, tuple(sorted(r.grams))) for r in found[:most])
+        out += [(np.array(g, np.int64), b, n / share) for (b, g), n in sorted(same.items())]
+    return out
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel | None, np.ndarray, float]:
     texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"))
-    patterns = pattern_counts(texts)
+    read = read_windows(texts, sample)
+    patterns = pattern_counts(read)
     if not patterns:
         return None, np.zeros(DIMENSIONS + len(VOTERS), np.float32), -30.0
     model = LabelModel(patterns)
-    rows = sample_windows(texts, patterns, sample)
+    rows = sample_windows(read, sample)
     labels = [model.by_bits.get(b, 0.0) for _, b, _ in rows]
     hot = max(1.0, sum(y * n for y, (_, _, n) in zip(labels, rows, strict=True)))
     balance = max(1.0, (sum(n for _, _, n in rows) - hot) / hot) ** 0.5
