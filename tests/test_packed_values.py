@@ -95,3 +95,14 @@ def test_rows_keep_ids_and_positions(spark):
     # an extra column whose name clashes with the value's is not in the way
     clash = df.withColumnRenamed("extra", "segment")
     assert split_packed(clash, "category", ["id"]).count() == 3
+
+
+def test_batches_are_cut_by_bytes_and_nothing_is_lost():
+    import pyarrow as pa
+
+    from trailmart.sources.tables import byte_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "", "b" * 50, "c" * 5, "d" * 5])], names=["k", "t"])
+    parts = list(byte_slices(batch, 1, 12))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and [x for p in parts for x in p.column(1).to_pylist()] == batch.column(1).to_pylist()
+    assert list(byte_slices(batch.slice(0, 0), 1)) == []

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..sources.tables import byte_slices
+
 DELIMITERS = "›»>＞→,，、;；|｜/／\t\n\r"
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "「": "」", "『": "』"}
 WRAPS = {"[": "]", "(": ")", "{": "}", "【": "】", "（": "）", "［": "］", "〔": "〕"}
@@ -210,7 +212,7 @@ def split_packed(df: DataFrame, column: str, keep: Sequence[str], pos: str = "po
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(pos, T.IntegerType(), False), T.StructField(value, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, whole.num_columns - 1)):
             lists = split_buffers(batch.column(batch.num_columns - 1))
             parent = pc.list_parent_indices(lists)
             at = np.arange(len(parent), dtype=np.int64) - np.asarray(lists.offsets)[np.asarray(parent)]
