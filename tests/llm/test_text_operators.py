@@ -76,6 +76,7 @@ def test_one_form():
     con = lookalikes._connect()
     form = lambda s: con.execute("SELECT one_form($1)", [s]).fetchone()[0]
     same = [("Ａ１（ｂ）", "A1(b)"), ("é", "é"), ("С​at", "Cat"), ("a b　c", "a b c"), ("⽯⾊", "石色"), ("oﬃce Ⅱ", "office II"), ("茶茶", "茶茶"), ("SC‑332", "SC-332"), ("е́", "é"), ("", ""), ("​", ""), (None, None)]
+    same += [("5㎏ 20℃ 3㎡", "5kg 20°C 3m²"), ("ՍՏВ".replace("Տ", "S"), "USB"), ("Ꭺɡ", "Ag")]
     for a, b in same:
         assert form(a) == b
     for a, b in [("a", "A"), ("é", "e"), ("²", "2"), ("后", "後"), ("-", "_"), ("a b", "ab")]:

@@ -29,6 +29,7 @@ from ..sources.tables import cut
 # Letters of other scripts that look like Latin ones, each followed by its twin.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухһԁԛԝӏѵёїѐЁЇЀ", "ABESIJKMHOPCTYXGQWYaesijopcyxhdqwlvëïèËÏÈ")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳϲνορόΆΈΌΊΎ", "ABEZHIKMNOPTYXCjcvopóÁÉÓÍÝ")
+OTHER = ("ՍօհցᎪᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᏴᏟᎠᏀɡ", "UohgAEHJKLMPSTVWZBCDGg")
 HYPHENS = ("‐‑", "--")
 SPACES = "               　\t"
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}]"
@@ -36,23 +37,29 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-
 INVISIBLE_PATTERN = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m.group(1), 16)), INVISIBLE))
 #: Texts of these characters only are in the one form already.
 ORDINARY = "[ -~\\x{3001}-\\x{3029}\\x{4E00}-\\x{9FFF}]*"
-#: Blocks whose characters are other writings of plain ones: full width; Roman numerals, radicals, ligatures, half width, letter-like digits.
+#: Blocks whose characters are other writings of plain ones: full width; Roman numerals, radicals, ligatures, half width, letter-like digits, units in one character, letters of rarer scripts.
 WIDE_BLOCK = (0xFF01, 0xFF5F)
-RARE_BLOCKS = [(0x2160, 0x2180), (0x2E80, 0x2FE0), (0xFB00, 0xFB07), (0xFF5F, 0xFFE7), (0x1D400, 0x1D800)]
+RARE_BLOCKS = [(0x261, 0x262), (0x530, 0x590), (0x13A0, 0x13F6), (0x2103, 0x2104), (0x2109, 0x210A), (0x2160, 0x2180), (0x3371, 0x33E0), (0x2E80, 0x2FE0), (0xFB00, 0xFB07), (0xFF5F, 0xFFE7), (0x1D400, 0x1D800)]
 
 
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _plain(c: str) -> str:
+    """The compatibility form of a character; units in one character keep their raised digits."""
+    kind, *parts = unicodedata.decomposition(c).split(" ")
+    return "".join(chr(int(x, 16)) for x in parts) if kind == "<square>" else unicodedata.normalize("NFKC", c)
+
+
 def _mapped(blocks: list[tuple[int, int]], start: str) -> str:
     """SQL that maps the characters of the blocks, and the twins, in ``start``."""
     one = dict.fromkeys(SPACES, " ")
-    for left, right in (CYRILLIC, GREEK, HYPHENS):
+    for left, right in (CYRILLIC, GREEK, HYPHENS, *([OTHER] if len(blocks) > 1 else [])):
         one |= dict(zip(left, right, strict=True))
     for low, high in blocks:
         for c in map(chr, range(low, high)):
-            plain = unicodedata.normalize("NFKC", c)
+            plain = _plain(c)
             if len(plain) == 1 and plain != c:
                 one[c] = one.get(plain, plain)
             elif len(plain) > 1 and " " not in plain:

@@ -135,11 +135,11 @@ def p9_packed(spark, sf_dir: str) -> DataFrame:
 
 
 def p9_fill(spark, sf_dir: str) -> DataFrame:
-    """Containers used by each kind, their tokens, and the share of the capacity that is filled."""
+    """Containers used by each kind, their tokens, the fewest containers that could hold as many tokens, and the share of the capacity that is filled."""
     room = table(spark, sf_dir, "pack_sizes", "container", "capacity")
     used = p9_packed(spark, sf_dir).filter("bin IS NOT NULL").groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"))
     whole = used.groupBy("container").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
-    return whole.join(F.broadcast(room.limit(MOST_CONTAINERS)), "container").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+    return whole.join(F.broadcast(room.limit(MOST_CONTAINERS)), "container").withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
 QUERIES = {"p9_packed": p9_packed, "p9_fill": p9_fill}
