@@ -50,7 +50,7 @@ _ODD = re.compile(f"{INVISIBLE_PATTERN.pattern[:-1]}Ͱ-ӿԀ-ԯ𝚨-𝟋]")
 _TWINS = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
 _MARKUP = re.compile(r"</?[a-z][^<>]*>|&[a-z]+;|&#\d+;")
 #: Spaces between longer runs of characters part sentences; signs and spaces between single ones are disguise or habit.
-_WIDE_GAP = re.compile(rf"(?<=[{_HAN}]\S{{3}})\s+(?=\S{{4}})|(?<=\S{{4}})\s+(?=[{_HAN}]\S{{3}})")
+_WIDE_GAP = re.compile(rf"(?=\s)(?:(?<=[{_HAN}]\S{{3}})\s+(?=\S{{4}})|(?<=\S{{4}})\s+(?=[{_HAN}]\S{{3}}))")
 _GAPS = re.compile(rf"(?<=[{_HAN}])[ \t.*_/|+^#~·-]{{1,4}}(?=[{_HAN}])")
 #: Follows a word that was written in disguise.
 MARK = "\ue000"
@@ -68,7 +68,7 @@ def _latin_pattern(word: str) -> str:
 _LATIN_WORDS = [(re.compile(_latin_pattern(w)), w) for w in INSULTS_EN + SEXUAL_EN]
 _ANY_LATIN = re.compile("|".join(p.pattern for p, _ in _LATIN_WORDS))
 #: Latin words that may be in disguise: signs or digits within, three equal letters, single letters in a row.
-_SUSPECT = re.compile(r"[a-z@$!0-9][*#@$!+_0-9]+[a-z@$*#]|[a-z$@][.-][a-z$@][.-]|([a-z])\1\1|(?<![a-z])[a-z] [a-z] [a-z](?![a-z])|[@$][a-z]{2}")
+_SUSPECT = re.compile(r"(?=[a-z@$!0-9])(?:[a-z@$!0-9][*#@$!+_0-9]+[a-z@$*#]|[a-z$@][.-][a-z$@][.-]|([a-z])\1\1|(?<![a-z])[a-z] [a-z] [a-z](?![a-z])|[@$][a-z]{2})")
 
 
 def _variants() -> dict[str, str]:
@@ -84,6 +84,11 @@ def _variants() -> dict[str, str]:
     return out | {f"{w[:i]} {w[i:]}": w for w in INSULTS_EN + SEXUAL_EN for i in range(1, len(w))}
 
 
+def _quick(name: str, word: str) -> bool:
+    """Whether a word is found by the hash of its pair of characters, or of the whole Latin word: those of trade, which are frequent."""
+    return name == "trade_en" and word.isalpha() or name == "trade_zh" and len(word) == 2
+
+
 @lru_cache(1)
 def _automata() -> tuple:
     """The automaton of disguised writings, and that of the words of all classes."""
@@ -95,7 +100,7 @@ def _automata() -> tuple:
     masks: dict[str, int] = {MARK: BIT["disguised"]}
     for name, words in CLASSES.items():
         for w in words:
-            if w:
+            if w and not _quick(name, w):
                 masks[w] = masks.get(w, 0) | BIT[name]
     for w, mask in masks.items():
         classes.add_word(w, (len(w), mask, w[0].isascii() and w[0].isalnum(), w[-1].isascii() and w[-1].isalnum()))
@@ -164,6 +169,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _word_hashes(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the characters from each start to its stop, in order of the starts."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = stop - start
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    offset = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = np.repeat(start, size) + offset
+    return _mix(np.add.reduceat(_mix(code[at] + _RANDOM[4]) * _RANDOM[6 + offset % 64], first))
+
+
+@lru_cache(1)
+def _trade_keys() -> tuple[np.ndarray, np.ndarray]:
+    pairs = [ord(w[0]) << 21 | ord(w[1]) for w in CLASSES["trade_zh"] if _quick("trade_zh", w)]
+    words = [w + end for w in CLASSES["trade_en"] if _quick("trade_en", w) for end in ("", "s", "es")]
+    sizes = np.array([len(w) for w in words])
+    code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.array(pairs, np.uint64), _word_hashes(code, np.cumsum(sizes) - sizes, np.cumsum(sizes))
+
+
 class Windows(NamedTuple):
     """The windows of a batch of texts: the text of each, and its first and last clause (the same for a lone one)."""
 
@@ -215,11 +240,7 @@ def windows(texts: list[str | None]) -> Windows:
     latin = kind & LATIN > 0
     start = np.flatnonzero(latin & ~np.append(False, latin[:-1]))
     stop = np.flatnonzero(latin & ~np.append(latin[1:], False)) + 1
-    letters = np.flatnonzero(latin)
-    of = np.repeat(np.arange(len(start)), stop - start)
-    word = np.zeros(len(start), np.uint64)
-    if len(start):
-        word = _mix(np.add.reduceat(_mix(code[letters] + _RANDOM[4]) * _RANDOM[6 + (letters - start[of]) % 64], np.concatenate([[0], np.cumsum(stop - start)[:-1]])))
+    word = _word_hashes(code, start, stop)
     near = np.flatnonzero(clause_at[start[1:]] == clause_at[start[:-1]]) if len(start) > 1 else np.array([], np.int64)
     at = np.concatenate([pair, triple, alone, start, start[near]])
     grams = np.concatenate([
@@ -232,6 +253,9 @@ def windows(texts: list[str | None]) -> Windows:
     mask = np.zeros(n, np.int64)
     for where, bits in _found(joined):
         mask[clause_at[where]] |= bits
+    pair_keys, word_keys = _trade_keys()
+    mask[clause_at[pair[np.isin(code[pair] << np.uint64(21) | code[pair + 1], pair_keys)]]] |= BIT["trade_zh"]
+    mask[clause_at[start[np.isin(word, word_keys)]]] |= BIT["trade_en"]
     used = np.flatnonzero((np.bincount(clause, minlength=n) > 0) | (mask > 0))
     first_at = np.searchsorted(clause_at, used)
     sentence = sentence_at[first_at]

@@ -34,7 +34,7 @@ CLASSES: dict[str, list[str]] = {
     "insult_en": [*INSULTS_EN, "piece of shit", "son of a"],
     "sexual_zh": SEXUAL_ZH,
     "sexual_en": SEXUAL_EN,
-    "person": "你 您 卖家 店主 店家 商家 客服 老板 评论的人 差评的 这种人 那种人 you your yourself u seller shopkeeper".split(),
+    "person": "你 您 卖家 店主 店家 商家 客服 老板 评论的人 差评的 这种人 那种人 you your yourself ur seller shopkeeper".split(),
     "contempt": (
         "蠢 笨 丑 脏 贱 傻 懒 恶心 垃圾 没用 无能 下等 低等 低人一等 寄生虫 牲口 害虫 蛀虫 小偷 骗子 强盗 罪犯 野蛮 狗 猪 没脑 "
         "stupid ugly dirty filthy vermin animal thief thieves brainless pathetic worthless disgusting parasite trash scum inferior rats criminal liars dumb useless subhuman lazy"
