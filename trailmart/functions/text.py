@@ -57,6 +57,12 @@ def model_numbers(c: Column | str) -> Column:
     return F.filter(search_tokens(c), lambda t: t.rlike("[a-z]") & t.rlike("[0-9]"))
 
 
+def token_overlap(wanted: Column | str, other: Column | str, tokens=search_tokens) -> Column:
+    """The share of a text's tokens that another has; a fifth if it has none. ``tokens`` may be any extractor of an array of words."""
+    w, o = tokens(wanted), tokens(other)
+    return F.when(F.size(w) == 0, 0.2).otherwise(F.size(F.array_intersect(w, o)) / F.size(w))
+
+
 def letters_and_digits(c: Column | str, fold=F.lower) -> Column:
     """The text without anything but letters and digits."""
     return F.regexp_replace(fold(col(c)), r"[^\p{L}\p{N}]", "")

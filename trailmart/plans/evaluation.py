@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import COLOURS, SIZES, attribute_share, colour_of, compliance_share, exact_share, size_of, token_set_share
-from ..functions.text import path_parts
+from ..functions.text import path_parts, sql_tokens, token_overlap
 from ..operators import metrics
 from ..operators.sampling import first_per
 from ..sources import table
@@ -190,6 +190,28 @@ def type_match(spark, sf_dir: str) -> DataFrame:
     return both.select("record_id", F.coalesce(same, F.lit(False)).alias("matches"))
 
 
+def title_overlap(spark, sf_dir: str) -> DataFrame:
+    """The share of the wanted item's title tokens that the bought one has, and whether it is above a fifth."""
+    a = _wanted_attributes(spark, sf_dir).select("record_id", token_overlap("wanted_title", "bought_title").alias("s"))
+    return a.select("record_id", F.round("s", 6).alias("share"), (F.col("s") > 0.2).alias("alike"))
+
+
+def success_histogram(spark, sf_dir: str) -> DataFrame:
+    """Tasks by the number of their accepted records."""
+    own = rollouts(spark, sf_dir, "task_id", "verification").filter("task_id IS NOT NULL").groupBy("task_id").agg(F.count_if("verification.accepted").alias("accepted"))
+    return own.groupBy("accepted").agg(F.count("*").alias("tasks"))
+
+
+def curation_totals(spark, sf_dir: str) -> DataFrame:
+    """One row: records, accepted ones, tasks and those with an accepted record, and how the accepted ones hit item and options."""
+    r = rollouts(spark, sf_dir, "task_id", "verification").filter("task_id IS NOT NULL")
+    whole = r.withColumn("usable", F.col("verification.metrics")["exact_asin_match"].isin(0.0, 1.0))
+    return whole.agg(
+        F.count("*").alias("records"), F.count_if("verification.accepted").alias("accepted"), F.countDistinct("task_id").alias("tasks"), F.countDistinct(F.when(F.col("verification.accepted"), F.col("task_id"))).alias("passed_tasks"),
+        F.round(F.avg(F.when(F.col("verification.accepted") & F.col("usable"), F.col("verification.metrics")["exact_asin_match"])), 6).alias("exact_item"),
+    ).withColumn("rate", F.round(F.col("accepted") / F.nullif(F.col("records"), F.lit(0)), 6))
+
+
 def option_colours(spark, sf_dir: str) -> DataFrame:
     """Colour and size class of each option value, and how many records bought it."""
     values = rollouts(spark, sf_dir, "purchase").select(F.explode(F.map_values("purchase.options")).alias("v")).select(F.lower("v").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
@@ -242,6 +264,10 @@ ORACLES = {
     "option_compliance_exact": f"WITH {_R}, x AS (SELECT record_id, {_PLAIN('goal.goal_options')} AS w, {_PLAIN('map_values(purchase.options)')} AS a FROM r WHERE purchase IS NOT NULL) SELECT record_id, {_SHARE} FROM x",
     "attribute_compliance_exact": f"WITH {_R}, {_FIRST}, x AS (SELECT record_id, {_PLAIN('p.attributes')} AS w, {_PLAIN('list_concat([b.title], b.attributes)')} AS a FROM r JOIN f p ON p.asin = goal.asin JOIN f b ON b.asin = purchase.asin) SELECT record_id, {_SHARE} FROM x",
     "type_match": f"WITH {_R}, {_FIRST} SELECT record_id, coalesce(goal.asin = purchase.asin OR (len({_PATH.format('p.category')}) > 0 AND {_PATH.format('p.category')} = {_PATH.format('b.category')}), false) AS matches FROM r LEFT JOIN f p ON p.asin = goal.asin LEFT JOIN f b ON b.asin = purchase.asin",
+    "title_overlap": f"WITH {_R}, {_FIRST}, x AS (SELECT record_id, {sql_tokens('p.title')} AS w, {sql_tokens('b.title')} AS a FROM r JOIN f p ON p.asin = goal.asin JOIN f b ON b.asin = purchase.asin), y AS (SELECT record_id, CASE WHEN len(w) = 0 THEN 0.2::DOUBLE ELSE len(list_intersect(w, a)) / len(w) END AS s FROM x) SELECT record_id, round(s, 6) AS share, s > 0.2 AS alike FROM y",
+    "success_histogram": f"WITH {_R}, o AS (SELECT tid, count(*) FILTER (verification.accepted) AS accepted FROM r WHERE tid IS NOT NULL GROUP BY tid) SELECT accepted, count(*) AS tasks FROM o GROUP BY ALL",
+    "curation_totals": f"""WITH {_R} SELECT count(*) AS records, count(*) FILTER (verification.accepted) AS accepted, count(DISTINCT tid) AS tasks, count(DISTINCT tid) FILTER (verification.accepted) AS passed_tasks,
+        round(avg(verification.metrics['exact_asin_match']) FILTER (verification.accepted AND verification.metrics['exact_asin_match'] IN (0, 1)), 6) AS exact_item, round(count(*) FILTER (verification.accepted) / count(*), 6) AS rate FROM r WHERE tid IS NOT NULL""",
     "option_colours": f"WITH {_R}, v AS (SELECT lower(unnest(map_values(purchase.options))) AS value FROM r) SELECT value, CASE {' '.join(f"WHEN contains(value, '{c}') THEN '{c}'" for c in COLOURS)} ELSE 'not_matched' END AS colour, CASE {' '.join(f"WHEN {_LIKE('value', p)} THEN '{p}'" for p in SIZES)} WHEN regexp_matches(value, '^(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN 'numeric_size' ELSE 'not_matched' END AS size, count(*) AS n FROM v GROUP BY ALL",
     "eval_metrics": f"WITH {_R} {_eval_sql('r')}",
     "eval_by_verifier": f"WITH {_R} {_eval_sql('r', 'verifier')}",
@@ -264,4 +290,4 @@ ORACLES = {
     "step_histogram": f"WITH {_R}, s AS (SELECT CAST(least(verification.metrics['num_tool_calls'], 1000) AS BIGINT) AS v FROM r WHERE isfinite(verification.metrics['num_tool_calls']) AND verification.metrics['num_tool_calls'] >= 0) SELECT value, count(v) AS n FROM (SELECT unnest(range((SELECT min(v) FROM s), (SELECT max(v) FROM s) + 1)) AS value) LEFT JOIN s ON v = value GROUP BY ALL",
     "best_seen_reward": f"WITH {_R} SELECT record_id, max(reward) OVER (PARTITION BY tid) AS best, round(max(reward) OVER (PARTITION BY tid) - reward, 6) AS regret FROM r WHERE tid IS NOT NULL AND reward IS NOT NULL",
 }
-QUERIES = {f.__name__: f for f in (eval_metrics, eval_by_verifier, eval_fixed_denominator, reward_summary, termination_rates, reward_spread, token_sums, metric_summary, rejection_histogram, accepted_distribution, best_of_n, quota_per_difficulty, quota_shortage, missing_rollouts, task_rollout_pairing, verify_outcome, goal_option_counts, option_compliance, option_compliance_exact, attribute_compliance, attribute_compliance_exact, type_match, option_colours, step_histogram, best_seen_reward)}
+QUERIES = {f.__name__: f for f in (eval_metrics, eval_by_verifier, eval_fixed_denominator, reward_summary, termination_rates, reward_spread, token_sums, metric_summary, rejection_histogram, accepted_distribution, best_of_n, quota_per_difficulty, quota_shortage, missing_rollouts, task_rollout_pairing, verify_outcome, goal_option_counts, option_compliance, option_compliance_exact, attribute_compliance, attribute_compliance_exact, type_match, option_colours, title_overlap, success_histogram, curation_totals, step_histogram, best_seen_reward)}
