@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.traces import INSTRUCTION, control_block
 from .sampling import weighted_draw
 
-# The tools of an agent, and the names of a training row's source, agent and ability.
+# The tools of an agent.
 TOOLS = ("search", "click")
-SOURCE, AGENT, ABILITY = "shopsimulator_grpo", "shop_tool_agent", "shopping"
 
 
 def goal(rows: DataFrame, key: str, name: str = "name", attributes: str = "attributes", options: str | None = None, instruction: str = "instruction") -> DataFrame:
@@ -39,16 +38,19 @@ def first_message(instruction: Column) -> Column:
     return F.concat(F.lit(INSTRUCTION), instruction, control_block(F.lit(True), F.array().cast("array<string>")))
 
 
-def training_row(goals: DataFrame, prompt: str, key: str = "task_id") -> DataFrame:
-    """(key, data_source, agent_name, prompt, ability, ground_truth, extra_info) of each goal; the truth is JSON text."""
+def training_row(goals: DataFrame, prompt: str, key: str = "task_id", source: str = "shopping", agent: str = "tool_agent", ability: str = "shopping") -> DataFrame:
+    """(key, data_source, agent_name, prompt, ability, ground_truth, extra_info) of each goal; the truth is JSON text.
+
+    ``source``, ``agent`` and ``ability`` are the names by which a trainer finds its reward and its agent.
+    """
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     fields = [F.col(c) for c in goals.columns if c not in (key, "attributes", "goal_options")]
     lists = [F.from_json(c, "array<string>").alias(c) for c in ("attributes", "goal_options") if c in goals.columns]
     truth = F.to_json(F.struct(F.col(key).alias("task_id"), F.struct(*fields, *lists).alias("goal")))
     extra = F.struct(F.col(key).alias("index"), F.col(key).alias("task_id"), F.lit(True).alias("need_tools_kwargs"), F.array(*map(F.lit, TOOLS)).alias("tool_selection"))
     return goals.select(
-        key, F.lit(SOURCE).alias("data_source"), F.lit(AGENT).alias("agent_name"), F.array(message("system", F.lit(prompt)), message("user", first_message(F.col("instruction_text")))).alias("prompt"),
-        F.lit(ABILITY).alias("ability"), truth.alias("ground_truth"), extra.alias("extra_info"),
+        key, F.lit(source).alias("data_source"), F.lit(agent).alias("agent_name"), F.array(message("system", F.lit(prompt)), message("user", first_message(F.col("instruction_text")))).alias("prompt"),
+        F.lit(ability).alias("ability"), truth.alias("ground_truth"), extra.alias("extra_info"),
     )
 
 

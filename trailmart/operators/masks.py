@@ -21,6 +21,8 @@ from .conversations import IGNORE
 
 # Marks of ChatML and the empty thinking block.
 START, END, EMPTY_THOUGHT = "<|im_start|>", "<|im_end|>", "<think>\n\n</think>\n\n"
+#: Token ids that are handed on at once.
+PAGE_IDS = 500_000
 LABELLED = "input_ids array<int>, attention_mask array<int>, labels array<int>, cut_action boolean, error string"
 
 
@@ -132,16 +134,26 @@ def audit(ids: list[int], labels: list[int], tokenizer) -> tuple[str, str]:
 def encode_labelled(conversations: DataFrame, key: str, messages: str, factory: Callable[[], object] = ByteTokenizer, max_length: int | None = None) -> DataFrame:
     """(key, input_ids, attention_mask, labels, cut_action, error); one map over the rows, a conversation at a time."""
 
+    names = [key, *(c.split()[0] for c in LABELLED.split(", "))]
+
+    def page(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        lists = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(3)]
+        return pa.RecordBatch.from_arrays([keys, *lists, pa.array([r[3] for r in rows], pa.bool_()), pa.array([r[4] for r in rows], pa.string())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = factory()
         for batch in batches:
-            for at in range(batch.num_rows):  # a long conversation is alone in memory with its ids
+            rows, size, begin = [], 0, 0
+            for at in range(batch.num_rows):
                 try:
-                    row = (*labelled(batch.column(1)[at].as_py(), tokenizer, max_length), None)
+                    rows.append((*labelled(batch.column(1)[at].as_py(), tokenizer, max_length), None))
                 except ValueError as e:
-                    row = ([], [], [], False, str(e))
-                ids = [pa.array([x], pa.list_(pa.int32())) for x in row[:3]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), *ids, pa.array([row[3]]), pa.array([row[4]], pa.string())], names=[key, *(c.split()[0] for c in LABELLED.split(", "))])
+                    rows.append(([], [], [], False, str(e)))
+                size += len(rows[-1][0])
+                if size > PAGE_IDS:  # long conversations do not wait for each other in memory
+                    yield page(batch.column(0).slice(begin, len(rows)), rows)
+                    rows, size, begin = [], 0, at + 1
+            yield page(batch.column(0).slice(begin, len(rows)), rows)
 
     kind = conversations.schema[key].dataType.simpleString()
     return spread(conversations.select(key, messages)).mapInArrow(run, f"`{key}` {kind}, {LABELLED}")
