@@ -1,9 +1,9 @@
 """Multi-field BM25 search as relational plans.
 
-An index is three tables: impacts (token, doc, what the token adds to the document's score), token statistics with the
-greatest impact of each token, and totals. What a token adds does not depend on the query, so it is computed once, when the index is built.
+An index is three tables: postings (token, doc, field weights summed, length of the document), token statistics and totals. What a token
+adds to a document's score does not depend on the query, so it is computed once per posting, of the tokens that are asked for.
 
-A search joins the tokens of its queries with the impacts; scores are sums per query and document, partly added up before
+A search joins the tokens of its queries with these impacts; scores are sums per query and document, partly added up before
 the shuffle, and the best of each query are kept by a ranked window, which Spark limits before its shuffle. Nothing is sent to the
 tasks whose size is not known: Spark decides on broadcasts by size, and splits tokens with very many documents in its joins.
 """
@@ -35,10 +35,18 @@ FORMAT = 2
 
 @dataclass
 class Index:
-    impacts: DataFrame
+    postings: DataFrame
     tokens: DataFrame
     totals: DataFrame
 
+    def impacts(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(token, doc, part) of all postings, or of those whose token is wanted."""
+        tokens = self.tokens if wanted is None else self.tokens.join(wanted, "token", "left_semi")
+        idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+        return self.postings.join(tokens, "token").crossJoin(F.broadcast(self.totals)).select("token", "doc", part.alias("part"))  # totals is one row
+
 
 def check_weights(weights: Mapping[str, float]) -> dict[str, float]:
     if not weights or any(not w > 0 or w == float("inf") for w in weights.values()):
@@ -58,8 +66,7 @@ def build_index(docs: DataFrame, key: str, weights: Mapping[str, float], fold=F.
     """An index of the text columns named in ``weights``. Tokens count once per field, repeated rows once.
 
     Texts are split into tokens before repeated rows are dropped, in as many tasks as the scan has, and
-    stored in the shared folder, from where all tables of the index start. A search computes the impacts of its tokens only;
-    an index for many searches is saved and opened.
+    stored in the shared folder, from where all tables of the index start; an index for many searches is saved and opened.
     """
     weights = check_fields(weights, docs.columns)
 
@@ -68,33 +75,26 @@ def build_index(docs: DataFrame, key: str, weights: Mapping[str, float], fold=F.
 
     entries = F.flatten(F.array(*(entries_of(c, w) for c, w in weights.items())))
     tokens = cut(spread(docs).select(F.col(key).alias("doc"), entries.alias("entries")).distinct())
-    exploded = tokens.select("doc", F.size("entries").alias("length"), F.inline("entries"))
-    postings = exploded.groupBy("doc", "token").agg(F.sum("w").alias("tf"), F.first("length").alias("length"))
+    postings = tokens.select("doc", F.size("entries").alias("length"), F.inline("entries")).groupBy("doc", "token").agg(F.sum("w").alias("tf"), F.first("length").alias("length"))
     totals = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("entries")).alias("mean_length"))
-    df = exploded.select("doc", "token").distinct().groupBy("token").agg(F.count("*").alias("df")) if len(weights) > 1 else exploded.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    impacts = postings.join(df, "token").crossJoin(F.broadcast(totals)).select("token", "doc", part.alias("part"))  # totals is one row
-    return Index(impacts, impacts.groupBy("token").agg(F.count("*").alias("df"), F.max("part").alias("most")), totals)
+    return Index(postings, postings.groupBy("token").agg(F.count("*").alias("df")), totals)
 
 
 def save_index(index: Index, folder: str, about: Mapping[str, object]) -> dict:
     """Store an index as a new version of a folder, with what it was made of (fields, fingerprint of the documents)."""
-    return files.write_versioned({"impacts": index.impacts, "tokens": index.tokens, "totals": index.totals}, folder, dict(about) | {"format": FORMAT})
+    return files.write_versioned({"postings": index.postings, "tokens": index.tokens, "totals": index.totals}, folder, dict(about) | {"format": FORMAT})
 
 
 def open_index(spark: SparkSession, folder: str, about: Mapping[str, object]) -> Index | None:
     """The newest stored index if it is of this format and was made of the same; else None, and it is to be built anew."""
     tables = files.open_versioned(spark, folder, dict(about) | {"format": FORMAT})
-    return None if tables is None else Index(tables["impacts"], tables["tokens"], tables["totals"])
+    return None if tables is None else Index(tables["postings"], tables["tokens"], tables["totals"])
 
 
 def search(index: Index, queries: DataFrame, key: str, text: str, depth: int = DEPTH, fold=F.lower) -> DataFrame:
     """(query, doc, score, rank) of the best ``depth`` documents that share a token with each query."""
     asked = queries.select(F.col(key).alias("query"), F.explode(search_tokens(text, fold)).alias("token"))
-    wanted = index.impacts.join(asked.select("token").distinct(), "token", "left_semi")
-    scored = asked.join(wanted, "token").groupBy("query", "doc").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    scored = asked.join(index.impacts(asked.select("token").distinct()), "token").groupBy("query", "doc").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= depth)
 
