@@ -15,6 +15,8 @@ SEARCH_FLAG = r"(?i)搜索功能是否可用:\s*(True|False)"
 BUTTONS = r"可点击的按钮:\s*(\[[^\n]*\])"
 CONTROLS = "\n\n搜索功能是否可用:"
 INSTRUCTION, SEPARATOR, ANSWER = "Instruction: ", "[SEP]", "\nAction: "
+# What stands around the wish on a start page.
+HEADINGS, SEARCH_BUTTON, PRICE = r"(?:amazon shopping game|webshop)\ninstruction:", "\n[button] search [button_]", ", and price lower than"
 #: A JSON list of texts and nothing else.
 TEXTS = r'^\[\s*(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*(?:,\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*)*+)?\]\s*$'
 ACTION_LINE = r"(?md)^(?:search\[[^\]\n]+\][^\n]*|click\[[^\]\n]+\][^\n]*|搜索“[^”\n]+”返回[^\n]*|用户点击了规格“[^”\n]+”[^\n]*)$"
@@ -89,9 +91,8 @@ def bare_text(c: Column | str) -> Column:
 def goal_text(page: Column | str) -> Column:
     """The wish of a start page: lower case, without its heading, its search button and a price condition."""
     s = F.regexp_replace(F.lower(col(page)), "[\"']", "")
-    s = F.regexp_replace(s, r"(?:amazon shopping game|webshop)\ninstruction:", "")
-    s = F.trim(F.replace(s, F.lit("\n[button] search [button_]"), F.lit("")))
-    return F.get(F.split(s, ", and price lower than", 2), F.lit(0))
+    s = F.trim(F.replace(F.regexp_replace(s, HEADINGS, ""), F.lit(SEARCH_BUTTON), F.lit("")))
+    return F.get(F.split(s, PRICE, 2), F.lit(0))
 
 
 def signature(tool: Column | str, arguments: Column | str) -> Column:
