@@ -113,20 +113,34 @@ class WordTrieEncoder:
             stable.clear()
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text."""
-        split = [[w.encode() for w in self.words.findall(t)] if t else [] for t in texts]
+    def split(self, texts: list[str | None]) -> list[list[bytes]]:
+        """The words of each text; the same for every vocabulary of the split pattern."""
+        return [[w.encode() for w in self.words.findall(t)] if t else [] for t in texts]
+
+    def known_ids(self, split: list[list[bytes]]) -> dict[bytes, list[int]]:
+        """The ids of all words of some texts (and of others that are remembered)."""
         known = self.known
         new = {w for ws in split for w in ws if w not in known}
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = {w for ws in split for w in ws}
-            fresh = self.encode_words(new)
-            known.update((w, i) for w, i in fresh.items() if len(w) <= CACHED_BYTES)
-        else:
-            fresh = {}
-        return [[i for w in ws for i in (known.get(w) or fresh[w])] for ws in split]
+        if not new:
+            return known
+        if len(known) > CACHED_WORDS:
+            known.clear()
+            new = {w for ws in split for w in ws}
+        fresh = self.encode_words(new)
+        long = {w: i for w, i in fresh.items() if len(w) > CACHED_BYTES}
+        known.update((w, i) for w, i in fresh.items() if len(w) <= CACHED_BYTES)
+        return known | long if long else known
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
+        split = self.split(texts)
+        ids = self.known_ids(split)
+        return [[i for w in ws for i in ids[w]] for ws in split]
+
+    def sizes(self, split: list[list[bytes]]) -> list[int]:
+        """How many ids each text has, from its words."""
+        ids = self.known_ids(split)
+        return [sum(len(ids[w]) for w in ws) for ws in split]
 
 
 @lru_cache(4)

@@ -60,11 +60,17 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def count_tokens(folder: str, tokenizer: str, texts: list[str | None]) -> list[int]:
-    if tokenizer.startswith("piece_"):
-        own = _pieces(folder, tokenizer)
-        return [len(x) for x in own.encode([t or "" for t in texts], num_threads=1)]
-    return [len(x) for x in encoder(folder, tokenizer).encode(texts)]
+def count_tokens(folder: str, tokenizers: list[str], texts: list[str | None]) -> dict[str, list[int]]:
+    """The tokens of each text by each tokenizer; byte-level vocabularies share one split into words."""
+    out, split = {}, None
+    for name in dict.fromkeys(tokenizers):
+        if name.startswith("piece_"):
+            out[name] = [len(x) for x in _pieces(folder, name).encode([t or "" for t in texts], num_threads=1)]
+        else:
+            own = encoder(folder, name)
+            split = own.split(texts) if split is None else split
+            out[name] = own.sizes(split)
+    return out
 
 
 _MODELS: dict[tuple[str, str], object] = {}
@@ -85,8 +91,9 @@ def token_sizes(documents: DataFrame, containers: list[tuple[str, str, int]]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, 1):
+                counts = count_tokens(folder, [t for _, t, _ in containers], texts)
                 for name, tokenizer, _ in containers:
-                    sizes = pa.array(count_tokens(folder, tokenizer, texts), pa.int64())
+                    sizes = pa.array(counts[tokenizer], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(texts)), sizes], names=["doc_id", "container", "tokens"])
 
     return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, container string, tokens long")
