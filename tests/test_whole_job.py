@@ -27,3 +27,15 @@ def test_long_rollouts_are_in_the_overflow_bin(spark, tmp_path):
     data = [(str(i), ({"num_tool_calls": v},)) for i, v in enumerate([998.0, 999.0, 1000.0, 5e9, float("inf"), float("nan"), -1.0])]
     spark.createDataFrame(data, "record_id string, verification struct<metrics: map<string, double>>").write.parquet(str(tmp_path / "rollouts.parquet"))
     assert sorted((r.value, r.n) for r in evaluation.step_histogram(spark, str(tmp_path)).collect()) == [(998, 1), (999, 1), (1000, 2)]
+
+
+def test_a_pilot_of_more_domains_than_tasks(spark, tmp_path):
+    import duckdb
+
+    from trailmart.plans import catalog
+
+    spark.range(400).selectExpr("id AS task_id", "concat('d', id % 71) AS domain", "'hard' AS difficulty", "'multi' AS option_bucket").coalesce(1).write.parquet(str(tmp_path / "tasks.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW tasks AS SELECT * FROM read_parquet('{tmp_path}/tasks.parquet/*.parquet')")
+    wanted = con.execute(catalog.ORACLES["pilot_choice"]).fetchall()
+    assert len(wanted) == 60 and sorted(wanted) == sorted((r.task_id, r.domain) for r in catalog.pilot_choice(spark, str(tmp_path)).collect())

@@ -137,13 +137,13 @@ def eligibility(tasks: DataFrame, key: str, split: str, mark: str, train: str, h
     return inside.join(seen, mark, "left").select(key, mark, state.alias("state"))
 
 
-def pilot(rows: DataFrame, size: int, key: str, seed: int = 42, domain: str = "domain", first: tuple[str, str] = ("difficulty", "hard"), second: tuple[str, str] = ("option_bucket", "multi")) -> DataFrame:
+def pilot(rows: DataFrame, size: int, key: str, seed: int = 42, domain: str = "domain", first: tuple[str, str] = ("difficulty", "hard"), second: tuple[str, str] = ("option_bucket", "multi"), cover: bool = True) -> DataFrame:
     """``size`` rows: one of each domain, then hard ones with several options of the largest domain, then any; each in drawn order.
 
-    If there are more domains than rows are asked, that is an error.
+    If there are more domains than rows are asked, that is an error; without ``cover`` it is the domains that are drawn first.
     """
     counts = rows.groupBy(domain).agg(F.count("*").alias("n"))
-    if counts.count() > size:
+    if cover and counts.count() > size:
         raise ValueError("a pilot must cover every domain")
     largest = counts.orderBy(F.desc("n"), F.desc(domain)).limit(1).select(F.col(domain).alias("_largest"))  # one row
     drawn = rows.withColumn("_order", draw_order(key, seed))

@@ -179,8 +179,8 @@ def dedup_refill(spark, sf_dir: str) -> DataFrame:
 
 
 def pilot_choice(spark, sf_dir: str) -> DataFrame:
-    """Sixty tasks: one of each domain, then hard ones with several options of the largest domain, then any."""
-    return sampling.pilot(_strata(spark, sf_dir), 60, "task_id", 3).select("task_id", "domain")
+    """Sixty tasks: one of each domain (of more than sixty, those drawn first), then hard ones with several options of the largest domain, then any."""
+    return sampling.pilot(_strata(spark, sf_dir), 60, "task_id", 3, cover=False).select("task_id", "domain")
 
 
 def quota_splits(spark, sf_dir: str) -> DataFrame:
