@@ -245,3 +245,9 @@ def test_every_query_runs_and_agrees_with_sql(spark):
             found = con.execute(queries.ORACLES[name])
             order = [[d[0] for d in found.description].index(c) for c in df.columns]
             assert sorted(tuple(r[i] for i in order) for r in found.fetchall()) == sorted(map(tuple, got)), name
+
+
+def test_blocks_of_any_size_miss_as_few_pairs():
+    for classes in (1, 200, 201, 2_000, 100_000, 10**9):
+        rows, bands = overlap.bands_of(classes)
+        assert (1 - overlap.WORST**rows) ** bands <= 0.00031

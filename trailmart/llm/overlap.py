@@ -9,10 +9,9 @@ expanded to pairs of records, or counted per split and source from the sizes of
 Parameters. Near means here at most ``MOST_EDITS`` single-character edits per character of the
 longer text, as the task states it, so shingles are two characters long: a share of 0.15 edits
 leaves a Jaccard similarity of at least ``WORST`` = (1 - 0.3) / (1 + 0.3) = 0.54. In blocks of up to ``SMALL_BLOCK``
-classes a band has two hashes, and a pair of that similarity is missed with probability 0.0003. Where numbers
-tell nothing apart, in large blocks (texts without numbers are one), a band has a hash more for every fourfold size,
-and bands are as many as miss a pair at the very limit with probability 0.04; the README has the recall measured on
-texts without numbers. ``LEAST_JACCARD`` is well below ``WORST``.
+classes a band has two hashes. Where numbers tell nothing apart, in large blocks (texts without numbers are one), a band
+has a hash more for every fourfold size, which spares candidates. In a block of any size bands are as many as miss a pair
+of that similarity with probability 0.0003, so the size decides on the work only. ``LEAST_JACCARD`` is well below ``WORST``.
 
 * Null texts and records of other splits take no part; a repeated row counts once.
 * Blank texts are one class and never a near match of another.
@@ -36,14 +35,14 @@ from .instructions import canonical, digest
 
 TRAIN, HELD_OUT = ["train"], ["eval", "online_dev", "test"]
 SHINGLE, LEAST_JACCARD, MOST_EDITS, WORST = 2, 0.4, 0.15, 0.54
-SMALL_BLOCK, MOST_ROWS, MISSED_SMALL, MISSED_LARGE = 200, 8, 0.0003, 0.04
+SMALL_BLOCK, MOST_ROWS, MISSED = 200, 8, 0.0003
 
 
 def bands_of(classes: int) -> tuple[int, int]:
     """(hashes of a band, bands) in a block of so many classes."""
     more = max(0, math.ceil(math.log(max(1, classes) / SMALL_BLOCK, 4)))
     rows = min(MOST_ROWS, 2 + more)
-    return rows, math.ceil(math.log(MISSED_LARGE if more else MISSED_SMALL) / math.log(1 - WORST**rows))
+    return rows, math.ceil(math.log(MISSED) / math.log(1 - WORST**rows))
 
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, MOST_ROWS * bands_of(2**62)[1]), dtype=np.uint64)
